@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, language, pii, quality
+from . import bpe, contamination, language, neardup, pii, quality
 from .common import table
 
 
@@ -31,7 +31,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Queries that DuckDB can say on the same tables.
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_pii, op7_quality_rules, op8_decontamination, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op6_pii, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_near_dedup)}
