@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, language, neardup, pii, quality
+from . import bpe, contamination, language, neardup, pii, quality, substrings, suffixes
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
@@ -38,4 +46,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries that DuckDB can say on the same tables.
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_pii, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_array_dedup, op2_language_id, op6_pii, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_near_dedup)}
