@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import documents, entities, streams
+from .registry import QUERIES, SQL
 
-def flagship(spark, sf_dir):
+__all__ = ["documents", "entities", "streams"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["class_index"](spark, sf_dir)
 
 
