@@ -115,23 +115,40 @@ def sketches(docs: DataFrame) -> DataFrame:
     return with_key(docs).mapInArrow(run, "doc_id long, th long, n long, set binary, sig array<long>, bands array<long>")
 
 
-def similarity(a: Column, b: Column, hashes: int = HASHES) -> Column:
-    """Estimate from packed signatures: the share of equal b-bit values, corrected for chance."""
-    differ = F.lit(0)
-    for i in range(hashes * BITS // 64):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for k in range(1, BITS):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(int("01" * 32, 2) if BITS == 2 else -1)))
+def differing(a: Column, b: Column) -> Column:
+    """How many of the b-bit values that two longs hold are not equal."""
+    x = a.bitwiseXOR(b)
+    for k in range(1, BITS):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(int("01" * 32, 2) if BITS == 2 else -1)))
+
+
+def corrected(differ: Column, hashes: int) -> Column:
+    """The share of equal b-bit values, corrected for those equal by chance."""
     chance = 2.0**-BITS
     return (1 - differ / hashes - chance) / (1 - chance)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Estimate from packed signatures of HASHES minima, one term for each long."""
+    differ = F.lit(0)
+    for i in range(HASHES * BITS // 64):
+        differ = differ + differing(F.get(a, F.lit(i)), F.get(b, F.lit(i)))
+    return corrected(differ, HASHES)
+
+
+def wide_similarity(a: Column, b: Column) -> Column:
+    """The same for WIDE_HASHES minima, as a fold: one term for each long would make a plan of thousands of nodes."""
+    return corrected(F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x), WIDE_HASHES)
+
+
 def confirmed(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """The pairs (pivot, nid) whose full sets reach the threshold.
 
     stored: (nid, text). A pivot's text comes first in each of its salted groups; members stream past it.
+    ``pairs`` is written first, as it is read thrice.
     """
+    pairs = written(pairs, "pairs")
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     salted = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("salt"), "nid", F.lit(1).alias("turn"))
     firsts = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("pivot").alias("nid"), F.lit(0).alias("turn"))
@@ -237,7 +254,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             few = named.select("nid").distinct()
             wide = written(wide_signatures(stored.join(few, "nid")), "wide")
             rows = named.join(sigs, "nid").join(wide, "nid")
-            close = similarity(F.col("p.wide"), F.col("m.wide"), WIDE_HASHES) >= PERCENT / 100 - WIDE_MARGIN
+            close = wide_similarity(F.col("p.wide"), F.col("m.wide")) >= PERCENT / 100 - WIDE_MARGIN
             may = may_link(F.col("p.n"), F.col("p.own"), F.col("m.n"), F.col("m.own"))
             both = rows.alias("p").join(rows.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("p.root") < F.col("m.root")) & may & near & close)
             pairs = both.select(F.least("p.nid", "m.nid").alias("pivot"), F.greatest("p.nid", "m.nid").alias("nid")).distinct()
