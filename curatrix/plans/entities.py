@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import builds, match, merge, resolve, rules
+from ..operators import builds, match, merge, resolve, rules, templates
 from ..operators.storage import cut
 from .documents import _SLUG
 from .registry import query
@@ -367,3 +367,19 @@ SELECT p_partkey, CAST(CASE WHEN bit_count(p_size) = 1 THEN log2(p_size) + 1 ELS
 def mask_and_level(t):
     """PRJ9, MTH10: a mask's only bit; points at a level."""
     return t.part.select("p_partkey", num.single_bit(F.col("p_size")).alias("class_id"), num.points_at_level(F.col("p_size"), 10, 30).alias("points"))
+
+
+@query("""
+WITH x AS (SELECT p_brand, p_type, p_partkey, p_size % 3 + 1 AS v, CASE WHEN p_size % 3 = 0 THEN '' ELSE 's' END AS s, CASE WHEN p_partkey % 17 = 0 THEN '!' ELSE '.' END AS e FROM part),
+g AS (SELECT p_brand, p_type, count(DISTINCT v) > 1 AS many, count(DISTINCT s) > 1 AS mixed, count(DISTINCT e) > 1 AS changed FROM x GROUP BY ALL)
+SELECT p_brand, p_type, CASE WHEN NOT any_value(changed) THEN 'Makes ' || p_type || ' parts of ' || p_brand || ' cost ' || CASE WHEN any_value(many) THEN '{0}' ELSE CAST(any_value(v) AS VARCHAR) END || ' point' || CASE WHEN any_value(mixed) THEN '{1}' ELSE any_value(s) END || any_value(e) END AS template,
+  CASE WHEN NOT any_value(changed) THEN string_agg(CASE WHEN mixed THEN v || ',' || s WHEN many THEN CAST(v AS VARCHAR) ELSE '' END, ';' ORDER BY p_partkey) END AS slots
+FROM x JOIN g USING (p_brand, p_type) GROUP BY p_brand, p_type
+""")
+def template_slots(t):
+    """STR13, STR14: the template of a group's sentences and the slots of each; null where more than numbers and plurals differ."""
+    v = F.col("p_size") % 3 + 1
+    said = F.concat(F.lit("Makes "), "p_type", F.lit(" parts of "), "p_brand", F.lit(" cost "), v.cast("string"), F.when(v == 1, " point").otherwise(" points"), F.when(F.col("p_partkey") % 17 == 0, "!").otherwise("."))
+    g = t.part.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", said.alias("said")))).alias("all"))
+    got = templates.inferred(g.select("p_brand", "p_type", F.transform("all", lambda x: x["said"]).alias("texts")), "texts")
+    return got.select("p_brand", "p_type", "template", F.array_join(F.transform("slots", lambda r: F.array_join(r, ",")), ";").alias("slots"))

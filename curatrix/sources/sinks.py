@@ -77,3 +77,25 @@ def canonical(value, order: list[str] | None = None, width: int = 100, indent: i
             return flat
         return "[\n" + ",\n".join(inner + canonical(x, order, width, indent + 2) for x in value) + f"\n{pad}]"
     return json.dumps(value, ensure_ascii=False)
+
+
+def markdown(title: str, facts: dict[str, object], tables: dict[str, DataFrame], most: int = 60) -> str:
+    """A report: a title, facts as a list, and each table under a heading with its count.
+
+    A table shows its first ``most`` rows in the order of its columns and says how many more there are;
+    numbers stand right. Nulls are empty, upright bars and line ends are escaped.
+    """
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    out = [f"# {title}", "", *(f"- {k}: {v}" for k, v in facts.items())]
+    for heading, df in tables.items():
+        n = df.count()
+        out += ["", f"## {heading} ({n})", ""]
+        if not n:
+            out.append("None.")
+            continue
+        right = [t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal") for _, t in df.dtypes]
+        rows = [[cell(v) for v in r] for r in df.orderBy(*df.columns).limit(most).collect()]
+        out += ["| " + " | ".join(r) + " |" for r in [df.columns, ["---:" if x else "---" for x in right], *rows]]
+        if n > most:
+            out += ["", f"... {n - most} more"]
+    return "\n".join(out) + "\n"

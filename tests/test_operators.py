@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from curatrix.functions import text as tx
-from curatrix.operators import builds, match, sessions
+from curatrix.operators import builds, match, sessions, templates
 from curatrix.plans import catalog
 from curatrix.sources import readers, sinks
 
@@ -116,6 +116,35 @@ def test_sinks(spark, tmp_path):
     assert json.loads(text) == {"id": "x", "b": [1, 2], "c": [{"z": 1, "a": []}]} and text.startswith('{\n  "id": "x",\n  "b": [1, 2]')
 
 
+def test_templates(spark):
+    cases = {
+        1: ["Costs 1 rage point.", "Costs 2 rage points."],
+        2: ["Stuns.", "Stuns for 5 sec."],
+        3: ["Tougher."],
+        4: ["Gains .5 to 010", "Gains 1.50 to 20"],
+        5: [],
+        6: None,
+        7: ["a", None],
+        8: ["Point 1", "point 1"],
+        9: ["", ""],
+        10: ["bus", "bu"],
+    }
+    df = spark.createDataFrame(list(cases.items()), "id int, texts array<string>")
+    got = {r["id"]: (r["template"], r["slots"], r["reason"]) for r in templates.inferred(df, "texts").collect()}
+    assert got[1] == ("Costs {0} rage point{1}.", [["1", ""], ["2", "s"]], None)
+    assert got[3] == ("Tougher.", [[]], None) and got[9] == ("", [[], []], None)
+    assert got[4] == ("Gains {0} to {1}", [["0.5", "10"], ["1.5", "20"]], None)
+    assert {got[i] for i in (5, 6, 7)} == {(None, None, None)} and {got[i] for i in (2, 8, 10)} == {(None, None, templates.CHANGED)}
+    assert [r["template"] for r in templates.inferred(df.filter("id = 10"), "texts", 1).collect()] == ["bu{0}"]
+    assert templates.inferred(df.limit(0), "texts").count() == 0
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("b|c", 2), (None, 1), ("a", 3)], "name string, n int")
+    text = sinks.markdown("Import", {"rows": 3}, {"All": df, "Gone": df.limit(0)}, 2)
+    assert text == "# Import\n\n- rows: 3\n\n## All (3)\n\n| name | n |\n| --- | ---: |\n|  | 1 |\n| a | 3 |\n\n... 1 more\n\n## Gone (0)\n\nNone.\n"
+
+
 def test_streams_agree_with_batch(spark, sf_dir):
     from pyspark.sql import functions as F
 
