@@ -142,8 +142,10 @@ def test_near_duplicates_odd(odd, empty):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, None, 4, 5, 6, 8, 9])
 
 
-def test_many_near_copies(spark):
-    """A group in which most pairs are no links: further rounds have to find the others."""
+@pytest.mark.parametrize("rounds", [neardup.PIVOT_ROUNDS, 1])
+def test_many_near_copies(spark, monkeypatch, rounds):
+    """A group in which most pairs are no links: further rounds have to find the others, or the last alone."""
+    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
