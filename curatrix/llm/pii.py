@@ -3,8 +3,9 @@
 Patterns give the base spans. The field's nodes are a document's base spans, whose labels are given,
 and its other tokens that hold a digit or an @. Potentials join a node with its features, with the
 next node (chain), and with distant nodes of the same or a similar value (skip): an address that is
-known in one place pulls its repetitions along. Equal values are linked one occurrence to the next, so
-edges stay linear in nodes. Labels come from loopy max-marginals of sum-product message passing over
+known in one place pulls its repetitions along. Equal values are linked one occurrence to the next, and
+every other mention to the first base span of its value and kind, so that evidence does not fade along
+the links and edges stay linear in nodes. Labels come from loopy max-marginals of sum-product message passing over
 each document. Weights are fitted by pseudo-likelihood on node rows of a bounded sample, with base
 spans as labels; tokens that resemble a base span have no known label and are left out of the fit.
 The field adds spans, never removes a base span, and never touches one.
@@ -147,6 +148,24 @@ class Field:
             same[k] = i
             if near:
                 like[near] = i
+        # each mention of a labelled value hangs on the first base span of each kind of it, however many lie between
+        equal: dict[str, dict[int, int]] = {}
+        similar: dict[str, dict[int, int]] = {}
+        for i in np.flatnonzero(self.label > 0).tolist():
+            k, near = keys(said[i])
+            equal.setdefault(k, {}).setdefault(int(self.label[i]), i)
+            if near:
+                similar.setdefault(near, {}).setdefault(int(self.label[i]), i)
+        if equal:
+            linked = {(i, j) for i, j, kind in edges if kind > 0}
+            for i in np.flatnonzero(self.label < 0).tolist():
+                k, near = keys(said[i])
+                for kind, hubs in ((1, equal.get(k, {})), (2, similar.get(near, {}))):
+                    for hub in hubs.values():
+                        e = (min(i, hub), max(i, hub))
+                        if e not in linked:
+                            linked.add(e)
+                            edges.append((*e, kind))
         self.edges = np.array(edges, np.int64).reshape(len(edges), 3)
 
 
@@ -165,6 +184,8 @@ def training_rows(text: str) -> list[tuple[int, list[float]]]:
     y = np.maximum(f.label, 0)
     around = np.zeros((n, 4, L))
     for i, j, kind in f.edges.tolist():
+        if kind > 0 and not (known[i] and known[j]):
+            continue  # a mention without a known label says nothing for or against agreement
         around[j, 0 if kind == 0 else 1 + kind, y[i]] += 1
         around[i, 1 if kind == 0 else 1 + kind, y[j]] += 1
     return [(int(y[i]), [*f.x[i], *around[i].ravel()]) for i in np.flatnonzero(known)]

@@ -128,6 +128,20 @@ def test_field_follows_repetitions(spark):
     assert pii.redact(text, base + more) == "Call [PHONE] now. There is a lot between the two of them, and then [PHONE] again, in 1987 or 42."
 
 
+def test_field_reaches_every_mention():
+    for lean in (0.0, 1.0):  # a unary towards 'no entity', and the least weights of skip edges
+        unary = pii.np.zeros((pii.L, len(pii.FEATURES)))
+        unary[0, 0] = lean
+        w = {"unary": unary, "chain": pii.np.zeros((pii.L, pii.L)), "skip": pii.np.array([4.0, 3.0])}
+        for base, said, kind in (("+1 555 010 4477", "555-010-4477", "phone"), ("jo@mail.example", "jo@mail", "email")):
+            for text in (f"By {base} now" + f" then {said} and on" * 30, f"then {said} and on " * 30 + f"by {base} now"):
+                got, more = pii.spans(text, w)
+                assert [s[0] for s in got] == [kind] and [(k, text[a:b]) for k, a, b in more] == [(kind, said)] * 30
+                f = pii.Field(text, got)
+                assert len(f.edges) <= 3 * len(f.label) and len(set(map(tuple, f.edges[f.edges[:, 2] > 0, :2].tolist()))) == (f.edges[:, 2] > 0).sum()
+        assert pii.spans("By +1 555 010 4477 now, then 555-010-9999 and 42.", w)[1] == []
+
+
 def test_pii_odd(spark, odd, empty):
     rows = pii.personal(odd).collect()
     assert len(rows) == len(ODD) and [r["n_ip"] for r in rows if r["doc_id"] == 7] == [300]
