@@ -169,10 +169,8 @@ def fuzzy_blocked(t):
 
 @query()
 def fuzzy_ratio(t):
-    """STR29: similarity of names of one first letter by sorted words, at least 75."""
-    n = t.part.select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a"), F.left("p_name", F.lit(1)).alias("k")), n.select(F.col("p_name").alias("b"), F.left("p_name", F.lit(1)).alias("k"))
-    return a.join(b, "k").filter("a < b").select("a", "b", F.round(tx.token_sort_ratio("a", "b"), 6).alias("score")).filter("score >= 75")
+    """STR29: all pairs of part names whose sorted words are at least 75 alike."""
+    return match.alike(t.part, "p_name", 75)
 
 
 _OVER = """WITH o AS (SELECT o_custkey AS c_custkey, bool_or(o_orderstatus = 'F' AND o_totalprice > 400000) AS del, max(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS bal FROM orders GROUP BY 1),

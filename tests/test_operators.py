@@ -1,6 +1,7 @@
 """Operators of the library: every query against its SQL, and hand-made cases."""
 
 import json
+import random
 
 import duckdb
 import pytest
@@ -59,6 +60,29 @@ def test_ratio():
     assert tx.indel_ratio("b a", "a b") == 100.0 and tx.indel_ratio("abc", "xyz") == 0.0 and tx.indel_ratio("", "") == 100.0
 
 
+def all_pairs(names, least=75):
+    names = sorted(set(names))
+    scored = ((a, b, round(tx.indel_ratio(a, b), 6)) for i, a in enumerate(names) for b in names[i + 1 :])
+    return {p for p in scored if p[2] >= least}
+
+
+def test_fuzzy_ratio_against_all_pairs(spark, sf_dir):
+    names = [r["p_name"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()]
+    got = list(map(tuple, catalog.queries()["fuzzy_ratio"](spark, sf_dir).collect()))
+    assert len(got) == len(set(got)) and set(got) == all_pairs(names) and any(a[0] != b[0] for a, b, _ in got)
+
+
+def test_alike_against_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["", " ", "\u00a0", "a", "b a", "a  b", "old bolt", "cold bolt", "bolt old", "ça🙂va", "va ça🙂", "🙂", "aaaa", "aaa", "aa"]
+    names += ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    names += [" ".join(rng.sample(["red", "read", "bread", "iron", "irons", "ring", "string"], rng.randint(1, 3))) for _ in range(80)]
+    df = spark.createDataFrame([(n,) for n in [*names, *names[:20], None]], "x string")
+    for least in (75, 90, 100):
+        got = list(map(tuple, match.alike(df, "x", least).collect()))
+        assert len(got) == len(set(got)) and set(got) == all_pairs(names, least)
+
+
 def test_json_object(spark):
     df = spark.createDataFrame([('x {"a": "}"} y {"b": 1}',), ("none",), (None,), ("{ open",)], "t string")
     assert [r[0] for r in df.select(tx.json_object("t")).collect()] == ['{"a": "}"}', None, None, None]
