@@ -117,6 +117,10 @@ def contains_antijoin(t):
     return match.without_containing(t.documents, t.benchmark, "text", "text").select("doc_id", "source")
 
 
+def _vocabulary(df, id):
+    return df.select(id, F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+
+
 @query("""
 WITH d AS (SELECT DISTINCT source, unnest(string_split(lower(text), ' ')) AS word FROM documents), b AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
 n AS (SELECT source, count(*) AS n FROM d GROUP BY 1), m AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
@@ -124,9 +128,16 @@ s AS (SELECT source, item_id, count(*) AS shared FROM d JOIN b USING (word) GROU
 SELECT source, item_id, shared, round(shared / least(n.n, m.n), 6) AS ratio FROM s JOIN n USING (source) JOIN m USING (item_id) WHERE shared / least(n.n, m.n) > 0.5
 """)
 def tree_match_overlap(t):
-    """Sources and benchmark items that share more than half of the smaller vocabulary."""
-    vocabulary = lambda df, c: df.select(c, F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
-    return match.overlap(vocabulary(t.documents, "source"), vocabulary(t.benchmark, "item_id"), "source", "item_id", "word")
+    """Sources and benchmark items that share more than half of the smaller vocabulary: the candidates of J12's last pass."""
+    return match.overlap(_vocabulary(t.documents, "source"), _vocabulary(t.benchmark, "item_id"), "source", "item_id", "word")
+
+
+@query()
+def tree_match(t):
+    """Sources and benchmark items matched one to one by id, by name, then by overlap of vocabularies."""
+    items = t.benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("item_id").cast("string").alias("name"), "text")
+    sources = t.documents.select("source", tx.squashed_name(F.col("source")).alias("name")).distinct()
+    return match.identified(sources, items.select("item", "name"), _vocabulary(t.documents, "source"), _vocabulary(items, "item"), "source", "item", "name", "word")
 
 
 @query("""

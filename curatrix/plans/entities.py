@@ -163,10 +163,23 @@ WITH a AS (SELECT DISTINCT p_name AS a FROM part WHERE length(p_name) >= 6), b A
 SELECT a, b, CAST(levenshtein(a, b) AS INT) AS edits FROM a JOIN b ON left(a, 1) = left(b, 1) AND a <> b AND abs(length(a) - length(b)) <= 3 AND levenshtein(a, b) <= 3
 """)
 def fuzzy_blocked(t):
-    """J10, J11, STR25: part names at most three edits apart."""
+    """Part names of one first letter at most three edits apart: candidates, no best one is chosen."""
     return match.fuzzy(t.part.select(F.col("p_name").alias("a")), t.part.select(F.col("p_name").alias("b")), "a", "b", most=3)
 
 
+@query("""
+WITH v AS (SELECT DISTINCT p_name AS b FROM part), a AS (SELECT DISTINCT p_name || 's' AS a FROM part UNION SELECT DISTINCT substr(p_name, 1, 1) || substr(p_name, 3) FROM part),
+d AS (SELECT a, b, CAST(levenshtein(a, b) AS INT) AS edits FROM a JOIN v ON left(a, 1) = left(b, 1) WHERE length(a) >= 6 AND a NOT IN (SELECT b FROM v) AND levenshtein(a, b) <= 2),
+m AS (SELECT *, min(edits) OVER (PARTITION BY a) AS least FROM d)
+SELECT a, min(b) AS b, min(edits) AS edits FROM m WHERE edits = least GROUP BY a HAVING count(*) = 1
+""")
+def snap_unique(t):
+    """STR25: misspelt part names, a letter more or less, set right where one name is nearest."""
+    n = t.part.select("p_name").filter("p_name is not null").distinct()
+    wrong = n.select(F.concat("p_name", F.lit("s")).alias("a")).unionAll(n.select(F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3))).alias("a")))
+    return match.snapped(wrong, n.select(F.col("p_name").alias("b")), "a", "b")
+
+
 @query()
 def fuzzy_ratio(t):
     """STR29: all pairs of part names whose sorted words are at least 75 alike."""

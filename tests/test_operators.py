@@ -60,6 +60,39 @@ def test_ratio():
     assert tx.indel_ratio("b a", "a b") == 100.0 and tx.indel_ratio("abc", "xyz") == 0.0 and tx.indel_ratio("", "") == 100.0
 
 
+def one_by_one(pairs):
+    out, gone = [], (set(), set())
+    for a, b, r in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in gone[0] and b not in gone[1]:
+            out.append((a, b, r)), gone[0].add(a), gone[1].add(b)
+    return sorted(out)
+
+
+def test_tree_match_is_one_to_one(spark, sf_dir):
+    over = [(r["source"], str(r["item_id"]), r["ratio"]) for r in catalog.queries()["tree_match_overlap"](spark, sf_dir).collect()]
+    got = catalog.queries()["tree_match"](spark, sf_dir).collect()
+    assert sorted((r["source"], r["item"], r["ratio"]) for r in got if r["by"] == "overlap") == one_by_one(over) and len(got) < len(over)
+
+
+def test_greedy_and_passes(spark):
+    rng = random.Random(3)
+    pairs = [(a, b, rng.randint(1, 4) / 4) for a in range(12) for b in range(9) if rng.random() < 0.6]
+    df = spark.createDataFrame(pairs, "a int, b int, r double")
+    assert sorted(map(tuple, match.greedy(df, "a", "b", "r").collect())) == one_by_one(pairs)
+    assert match.greedy(df.limit(0), "a", "b", "r").count() == 0
+    left = spark.createDataFrame([("x", "n"), ("p", "same"), ("q", "same"), ("u", None), ("v", None)], "l string, name string")
+    right = spark.createDataFrame([("x", "m"), ("k", "same"), ("y", "z"), ("w", None)], "r string, name string")
+    words = lambda c, sets: spark.createDataFrame([(i, w) for i, ws in sets.items() for w in ws], f"{c} string, word string")
+    got = match.identified(left, right, words("l", {"x": "abc", "u": "abcd", "v": "abc", "q": "e"}), words("r", {"x": "abc", "y": "abc", "w": "abcd", "k": "abc"}), "l", "r", "name", "word")
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [("p", "k", "name"), ("u", "w", "overlap"), ("v", "y", "overlap"), ("x", "x", "id")]
+
+
+def test_snapped(spark):
+    vocab = spark.createDataFrame([("Immolate",), ("Fireball",), ("Fireballs",), ("Shadow",)], "b string")
+    said = spark.createDataFrame([("Immolates",), ("Fireball",), ("Fireballx",), ("Fireballss",), ("Shado",), ("Xhadow",), ("Shadowxxx",)], "a string")
+    assert sorted(map(tuple, match.snapped(said, vocab, "a", "b").collect())) == [("Fireballss", "Fireballs", 1), ("Immolates", "Immolate", 1)]
+
+
 def all_pairs(names, least=75):
     names = sorted(set(names))
     scored = ((a, b, round(tx.indel_ratio(a, b), 6)) for i, a in enumerate(names) for b in names[i + 1 :])
