@@ -1,11 +1,12 @@
 """Byte-level BPE: encoding and decoding over length-bucketed padded numpy matrices.
 
 Texts are cut by the tokenizer's pattern; the distinct pieces of a batch that were not met before go
-into matrices, one per bucket of lengths, a row each. In every round each row merges its leftmost
-pair of least rank; pairs are looked up in an open-addressing hash table held in two arrays, and a
-compaction closes the gaps. Rows that have no pair left are done and leave the matrix. Pieces of more
-than LONG bytes take the same merges in the same order from a heap, as a row's rounds cost its length
-each. Ids decode by concatenating the bytes of each id.
+into matrices, one per bucket of lengths, a row each, whatever their length. In every round each row
+merges the pairs of its least rank, the leftmost first: all that leftmost-first merging would reach
+before any other pair, or the leftmost alone where a merge would make a pair of still lower rank. Pairs
+are looked up in an open-addressing hash table held in two arrays, and a compaction closes the gaps. Rows
+that have no pair left are done and leave the matrix. A row's rounds are thus bounded by its distinct
+ranks, not its length. Ids decode by concatenating the bytes of each id.
 
 Defined cases: null and empty texts have no ids; bytes that are not UTF-8 can't occur in a string
 column; equal rows get equal ids.
@@ -13,7 +14,6 @@ column; equal rows get equal ids.
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, small_batches
+from .common import append, fresh
 
-#: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
-LONG, CELLS = 1024, 1 << 20
+#: About how many bytes of pieces a worker remembers; beyond that it starts anew. Freed when a partition ends.
+REMEMBERED = 32 << 20
+#: Cells that a matrix has at most, unless one row alone is longer.
+CELLS = 1 << 18
 NONE = np.int32((1 << 31) - 1)
 
 
@@ -84,74 +85,71 @@ class Encoder:
             raise ValueError("a byte-level vocabulary has each single byte")
         self.ranks, self.pairs, self.split = ranks, Pairs(ranks), regex.compile(pattern)
         self.memory: dict[str, tuple[str, bytes, int]] = {}
+        self.held = 0
+
+    def _merge(self, ids: np.ndarray, ranks: np.ndarray, lens: np.ndarray, best: np.ndarray, hits: np.ndarray):
+        """Rows after merging the pairs that start at ``hits``, and whether a pair of lower rank was made on the way."""
+        rows, width = ids.shape
+        made = np.where(hits, best[:, None], ids)
+        keep = np.arange(width) < lens[:, None]
+        keep[:, 1:] &= ~hits[:, :-1]
+        left = lens - hits.sum(axis=1, dtype=np.int32)
+        inside = np.arange(int(left.max())) < left[:, None]
+        out_ids, out_ranks, fresh = np.full(inside.shape, -1, np.int32), np.full(inside.shape, NONE, np.int32), np.zeros(inside.shape, bool)
+        out_ids[inside], out_ranks[inside], fresh[inside] = made[keep], ranks[keep], hits[keep]
+        touched = fresh.copy()  # pairs that a merged id is part of
+        touched[:, :-1] |= fresh[:, 1:]
+        last = np.arange(rows), left - 1
+        touched[last], out_ranks[last] = False, NONE
+        r, c = np.nonzero(touched)
+        out_ranks[r, c] = got = self.pairs(out_ids[r, c], out_ids[r, c + 1])
+        lower = np.zeros(rows, bool)
+        lower[r[got < best[r]]] = True
+        # on the way, a merged id stands before the first half of the pair that is merged next
+        r, c = np.nonzero(hits[:, :-2] & hits[:, 2:])
+        lower[r[self.pairs(best[r], ids[r, c + 2]) < best[r]]] = True
+        return out_ids, out_ranks, left, lower
 
     def _matrix(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces of about one length."""
         lens = np.array([len(p) for p in pieces], np.int32)
-        width = int(lens.max())
-        ids = np.full((len(pieces), width), -1, np.int32)
-        inside = np.arange(width) < lens[:, None]
+        ids = np.full((len(pieces), int(lens.max())), -1, np.int32)
+        inside = np.arange(ids.shape[1]) < lens[:, None]
         ids[inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        merged = np.full((len(pieces), width), NONE, np.int32)  # of the pair that starts here
+        ranks = np.full(ids.shape, NONE, np.int32)  # of the pair that starts here
         whole = inside[:, 1:]
-        merged[:, :-1][whole] = self.pairs(ids[:, :-1][whole], ids[:, 1:][whole])
+        ranks[:, :-1][whole] = self.pairs(ids[:, :-1][whole], ids[:, 1:][whole])
         out: list[list[int]] = [[]] * len(pieces)
         rows = np.arange(len(pieces))
-        while rows.size:
-            r = np.arange(rows.size)
-            at = merged.argmin(axis=1)  # the leftmost of the least
-            best = merged[r, at]
+        while True:
+            best = ranks.min(axis=1)
             done = best == NONE
             if done.any():
                 for row, n, got in zip(rows[done].tolist(), lens[done].tolist(), ids[done].tolist(), strict=True):
                     out[row] = got[:n]
                 on = ~done
-                rows, lens, at, best = rows[on], lens[on], at[on], best[on]
+                rows, lens, best = rows[on], lens[on], best[on]
                 if not rows.size:
-                    break
-                width, r = int(lens.max()), np.arange(rows.size)
-                ids, merged = ids[on, :width], merged[on, :width]
-            ids[r, at] = best
-            # compaction: what stands right of the merged pair moves one to the left
-            stay = np.arange(width - 1) <= at[:, None]
-            ids = np.where(stay, ids[:, :-1], ids[:, 1:])
-            merged = np.where(stay, merged[:, :-1], merged[:, 1:])
-            lens, width = lens - 1, width - 1
-            for start in (at - 1, at):  # the pairs that the merged id is part of
-                can = np.flatnonzero((start >= 0) & (start + 1 < lens))
-                ss = start[can]
-                merged[can, ss] = self.pairs(ids[can, ss], ids[can, ss + 1])
-            end = np.flatnonzero(at >= lens - 1)
-            end = end[at[end] < width]
-            merged[end, at[end]] = NONE
-            if not width:
-                raise AssertionError("a row always keeps an id")
-        return out
-
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same merges in the same order: the least rank first, the leftmost of equals."""
-        token = [bytes([b]) for b in piece]
-        nxt, prev = [*range(1, len(piece)), -1], [*range(-1, len(piece) - 1)]
-        ranks, heap = self.ranks, []
-
-        def offer(i: int) -> None:
-            if i >= 0 and nxt[i] >= 0 and (r := ranks.get(token[i] + token[nxt[i]])) is not None:
-                heapq.heappush(heap, (r, i, token[i], token[nxt[i]]))
-
-        for i in range(len(piece)):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if token[i] != a or nxt[i] < 0 or token[nxt[i]] != b:
-                continue
-            j = nxt[i]
-            token[i], token[j] = a + b, b""
-            nxt[i] = nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            offer(prev[i])
-            offer(i)
-        return [ranks[t] for t in token if t]
+                    return out
+                width = int(lens.max())
+                ids, ranks = ids[on, :width], ranks[on, :width]
+            hits = ranks == best[:, None]
+            if (hits[:, 1:] & hits[:, :-1]).any():  # of pairs that overlap, every second one from the left
+                place = np.arange(hits.shape[1])
+                before = np.maximum.accumulate(np.where(hits, -1, place), axis=1)
+                hits &= (place - before) % 2 == 1
+            new_ids, new_ranks, new_lens, lower = self._merge(ids, ranks, lens, best, hits)
+            if lower.any():  # there only the leftmost pair is merged
+                at = np.flatnonzero(lower)
+                first = np.zeros((len(at), hits.shape[1]), bool)
+                first[np.arange(len(at)), hits[at].argmax(axis=1)] = True
+                one_ids, one_ranks, one_lens, _ = self._merge(ids[at], ranks[at], lens[at], best[at], first)
+                more = one_ids.shape[1] - new_ids.shape[1]
+                if more > 0:
+                    new_ids, new_ranks = np.pad(new_ids, ((0, 0), (0, more)), constant_values=-1), np.pad(new_ranks, ((0, 0), (0, more)), constant_values=NONE)
+                new_ids[at], new_ranks[at], new_lens[at] = -1, NONE, one_lens
+                new_ids[at, : one_ids.shape[1]], new_ranks[at, : one_ranks.shape[1]] = one_ids, one_ranks
+            ids, ranks, lens = new_ids, new_ranks, new_lens
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece: its own id where it has one, else by buckets of lengths up to a power of two."""
@@ -160,8 +158,6 @@ class Encoder:
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
                 out[i] = [whole]
-            elif len(p) > LONG:
-                out[i] = self._heap(p)
             elif p:
                 buckets.setdefault((len(p) + 3) >> 2 if len(p) <= 32 else 16 + len(p).bit_length(), []).append(i)
         for at in buckets.values():
@@ -174,14 +170,18 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         return self.split.findall(text)
 
+    def forget(self) -> None:
+        self.memory, self.held = {}, 0
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are new and remember their ids, as text, and what these decode to."""
+        if self.held > REMEMBERED:
+            self.forget()
         new = [p for p in pieces if p not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory = {p: self.memory[p] for p in pieces if p in self.memory}
         text_of, bytes_of = self.text_of, self.bytes_of
         for p, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            self.memory[p] = (" ".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids]), len(ids))
+            self.memory[p] = said = (" ".join([text_of[i] for i in ids]), b"".join([bytes_of[i] for i in ids]), len(ids))
+            self.held += 300 + 2 * len(p) + len(said[0]) + len(said[1])
 
     def encode(self, text: str) -> list[int]:
         cut = self.pieces(text)
@@ -224,7 +224,6 @@ def default_vocabulary() -> tuple[str, str]:
 
 def with_ids(docs: DataFrame, vocabulary: tuple[str, str] | None = None, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with the ids of each text (null: null), and that column's name."""
-    small_batches(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
     (name,) = fresh(docs, "ids")
     return append(docs, [(name, "array<long>")], lambda ts: [encoder(path, pattern).encoded(ts)], text), name
@@ -244,7 +243,7 @@ def decoded(df: DataFrame, ids: str = "ids", vocabulary: tuple[str, str] | None
 
 def tokenized(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text (null: empty)."""
-    small_batches(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
-    df = append(docs.select("doc_id", "text"), [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], lambda ts: encoder(path, pattern).digests(ts))
+    fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    df = append(docs.select("doc_id", "text"), fields, lambda ts: encoder(path, pattern).digests(ts), after=lambda: encoder(path, pattern).forget())
     return df.drop("text")

@@ -12,30 +12,42 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python words are separated by these six bytes, which is the class [\x20\x09-\x0D].
 #: ``bytes.split()`` splits at exactly these, so it yields the words ``[^\x20\x09-\x0D]+``.
 BLANKS = b" \t\n\r\x0b\x0c"
 
-#: Rows and bytes that one Arrow batch carries to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows and bytes that a function handles at once; larger Arrow batches are cut in the worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: long texts make a batch of 10,000 rows very large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def cut(batches):
+    """Arrow batches in parts of at most BATCH_ROWS and about BATCH_BYTES (or one row), without copying.
+
+    Python's memory is bounded by this, and no session setting is touched.
+    """
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named, as in tests."""
+    """The cluster's shared folder. In local mode, where all tasks share the machine, one of our own if none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or "file:///tmp/checkpoints/curatrix"
 
 
@@ -46,14 +58,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it outlives any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that this application wrote to the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables that this application wrote to the shared folder, but those that ``keep`` reads.
+
+    Frames that are still to be computed from a deleted table fail, so call it when results are stored.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return
+    used = {part for f in (keep.inputFiles() if keep is not None else []) for part in f.split("/")}
+    for status in fs.listStatus(root):
+        if status.getPath().getName() not in used:
+            fs.delete(status.getPath(), True)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -92,12 +113,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def append(df: DataFrame, fields: list[tuple[str, str]], fn, text: str = "text") -> DataFrame:
+def sampled(df: DataFrame, key: list[Column], n: int) -> DataFrame:
+    """At most ``n`` rows of distinct ``key``: about those with the least hashes, at any size of ``df``.
+
+    The bound on the hash comes from the count, so that no task and no driver ever holds more than about
+    ``n`` rows; rows of an equal key count once, so a hot key can't fill the sample.
+    """
+    (h,) = fresh(df, "hash")
+    out, total = df.withColumn(h, F.xxhash64(*key)), df.count()
+    if total > n:
+        out = out.filter(F.col(h) < int(-(2**63) + 2**64 * (n / total)))
+    return out.dropDuplicates([h]).orderBy(h).limit(n).drop(h)
+
+
+def append(df: DataFrame, fields: list[tuple[str, str]], fn, text: str = "text", after=None) -> DataFrame:
     """``df`` with columns that ``fn`` makes from each Arrow batch of texts.
 
     fn: gets the texts as UTF-8 bytes (None: null) and returns a list for each of ``fields``
-    (name, SQL type). Every column of ``df`` passes through as it is. Clashing names raise; take
-    them from :func:`fresh`.
+    (name, SQL type). after: called when a partition ends, to free what ``fn`` keeps. Every column
+    of ``df`` passes through as it is. Clashing names raise; take them from :func:`fresh`.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
@@ -106,8 +140,12 @@ def append(df: DataFrame, fields: list[tuple[str, str]], fn, text: str = "text")
     new = [pa.field(n, to_arrow_type(T._parse_datatype_string(t))) for n, t in fields]
 
     def run(batches):
-        for b in batches:
-            made = fn(texts(b, text))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, new, strict=True))], schema=pa.schema([*b.schema, *new]))
+        try:
+            for b in cut(batches):
+                made = fn(texts(b, text))
+                yield pa.RecordBatch.from_arrays([*b.columns, *(c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(made, new, strict=True))], schema=pa.schema([*b.schema, *new]))
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, schema)

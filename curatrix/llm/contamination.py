@@ -2,14 +2,15 @@
 
 :func:`build_index` stores postings of training tokens in shards of whole documents: a row per shard,
 with a sorted list of positions for each term. Documents lie one after the other, with a gap that no
-phrase can bridge. :func:`search` takes test items to the shards: each window's terms are ordered by the
-length of their lists in the shard, and the lists, moved back by the term's offset, are intersected from
-the rarest on. What is left are the exact places of the window. Proximity matches take the rarest term's
-places and look for all other terms around them.
+phrase can bridge. All terms are indexed, so one index serves any test items. :func:`search` takes these to
+the shards: windows of which the shard lacks a term are passed over at once, of the others the terms are
+ordered by the length of their lists in the shard, and the lists, moved back by the term's offset, are
+intersected from the rarest on, for many windows in one array. What is left are the exact places of the
+windows. Proximity matches take the rarest term's places and look for all other terms around them.
 
 A shard holds whole documents and each search looks at all shards, so a passage that a third of all
 documents share costs no task more than its own documents do; nothing is shuffled but results.
-Test items are sent to the executors in blocks of at most BLOCK_BYTES.
+Test items are sent to the executors as arrays of numbers, in blocks of at most BLOCK_BYTES of text.
 
 Defined cases: null or wordless texts have no words, are not contaminated and match nothing; null
 items and items without words are passed over; items with one id count once; repeated documents
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, texts, with_key, written
+from .common import cut, fresh, texts, with_key, written
 
 #: Words of one window; shorter items are one window.
 WIDTH = 10
@@ -45,54 +46,55 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-def windows(item: list[bytes], width: int = WIDTH) -> list[tuple[bytes, ...]]:
-    """Of each run of ``width`` words; an item of fewer, but not none, is one window."""
-    return [tuple(item[i : i + width]) for i in range(max(1, len(item) - width + 1))] if item else []
+class Windows:
+    """Test items as arrays: each run of ``width`` words is a window; an item of fewer, but not none, is one."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+        self.items = [item for item, _ in items]
+        ids: dict[bytes, int] = {}
+        lens = [len(own) for _, own in items]
+        self.words = np.fromiter((ids.setdefault(w, len(ids)) for _, own in items for w in own), np.int32, sum(lens))
+        self.terms = list(ids)
+        first = np.cumsum([0, *lens])
+        count = [max(1, n - width + 1) if n else 0 for n in lens]
+        self.owner = np.repeat(np.arange(len(lens), dtype=np.int32), count)
+        self.start = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=False)] or [np.empty(0, np.int64)]).astype(np.int64)
+        self.size = np.minimum(np.array(lens, np.int32)[self.owner], width) if lens else np.empty(0, np.int32)
 
 
 _INDEX = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("postings", pa.binary())])
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, gap: int = GAP) -> DataFrame:
-    """Shards of ``docs`` (doc_id, text), stored in the shared folder.
+def build_index(docs: DataFrame, gap: int = GAP) -> DataFrame:
+    """Shards of ``docs`` (doc_id, text), stored in the shared folder, with postings of all their words.
 
-    ``vocabulary`` names the terms to keep postings of (None: all); other words only count as
-    positions. Postings are differences of sorted positions, 32 bits each.
+    Postings are differences of sorted positions, 32 bits each.
     """
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(sorted(vocabulary))}) if vocabulary is not None else None
 
     def run(batches):
-        ids: dict[bytes, int] = sent.value if sent else {}
+        ids: dict[bytes, int] = {}
         doc_ids, hashes, n_words, firsts, parts, at = [], [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            term, place = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int32), np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
+            term, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(term, kind="stable")
             term, place = term[order], place[order]
             kinds, starts = np.unique(term, return_index=True)
             delta = np.diff(place, prepend=0)
             delta[starts] = place[starts]
-            name = sorted(ids, key=ids.__getitem__) if not sent else None
-            said = [(by_id if sent else name)[k] for k in kinds.tolist()]
-            sizes = np.diff(np.append(starts, len(term))).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((uuid.uuid4().hex, doc_ids, hashes, n_words, firsts, said, sizes, delta.astype(np.uint32).tobytes()), _INDEX, strict=True)], schema=_INDEX)
+            sizes = np.diff(np.append(starts, len(term)))
+            said = list(ids)  # numbered as they came, and each occurs
+            row = (uuid.uuid4().hex, doc_ids, hashes, n_words, firsts, said, sizes.tolist(), delta.astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _INDEX, strict=True)], schema=_INDEX)
 
-        by_id = sorted(ids, key=ids.__getitem__) if sent else None
-        for b in batches:
+        for b in cut(batches):
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
                 own = words(text)
                 if doc_ids and at + len(own) > SHARD_WORDS:
                     yield shard()
                     doc_ids, hashes, n_words, firsts, parts, at = [], [], [], [], [], 0
-                    if not sent:
-                        ids = {}
-                if sent:
-                    got = np.fromiter((ids.get(w, -1) for w in own), np.int32, len(own))
-                else:
-                    got = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own))
-                known = np.flatnonzero(got >= 0)
-                parts.append((got[known], known + at))
+                    ids = {}
+                parts.append((np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own)), np.arange(at, at + len(own), dtype=np.int64)))
                 doc_ids.append(doc_id)
                 hashes.append(th)
                 n_words.append(len(own))
@@ -105,93 +107,127 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, gap: int
     return written(with_key(docs).mapInArrow(run, kind), "index")
 
 
+#: A posting is one number, its term's place in the shard times TERM plus its position; they are sorted.
+TERM = 1 << 33
+#: Positions that are tried at once.
+TRIED = 1 << 19
+
+
 class Shard:
-    """One row of the index, with a term's positions read when they are asked for."""
+    """One row of the index: its postings in one sorted array."""
 
     def __init__(self, row: dict):
-        self.doc_ids, self.n_words, self.firsts = row["doc_ids"], row["n_words"], np.array(row["firsts"], np.int64)
-        ends = np.cumsum([0, *row["sizes"]])
-        self.at = {t: (int(a), int(b)) for t, a, b in zip(row["terms"], ends, ends[1:], strict=False)}
-        self.raw, self.read = np.frombuffer(row["postings"], np.uint32), {}
-
-    def size(self, term: bytes) -> int:
-        a, b = self.at.get(term, (0, 0))
-        return b - a
-
-    def places(self, term: bytes) -> np.ndarray:
-        if term not in self.read:
-            a, b = self.at.get(term, (0, 0))
-            self.read[term] = np.cumsum(self.raw[a:b], dtype=np.int64)
-        return self.read[term]
-
-    def exact(self, window: tuple[bytes, ...]) -> np.ndarray:
-        """First positions of the phrase."""
-        order = sorted(range(len(window)), key=lambda i: (self.size(window[i]), i))
-        if not self.size(window[order[0]]):
-            return np.empty(0, np.int64)
-        found = self.places(window[order[0]]) - order[0]
-        for i in order[1:]:
-            own = self.places(window[i])
-            at = np.searchsorted(own, found + i)
-            found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == found + i)]
-            if not len(found):
-                break
-        return found
-
-    def near(self, window: tuple[bytes, ...], span: int) -> set[int]:
-        """Documents, by their place in the shard, in which some ``span`` words hold all of the terms."""
-        terms = sorted(set(window), key=lambda t: (self.size(t), t))
-        if not self.size(terms[0]):
-            return set()
-        found = self.places(terms[0])
-        for t in terms[1:]:
-            own = self.places(t)
-            found = found[np.searchsorted(own, found + span) > np.searchsorted(own, found - span, "right")]
-            if not len(found):
-                return set()
-        out = set()
-        for q in found.tolist():
-            # spans that hold q start at one of the terms' places
-            around = [own[np.searchsorted(own, q - span, "right") : np.searchsorted(own, q + span)] for own in map(self.places, terms)]
-            starts = np.concatenate(around)
-            starts = starts[(starts <= q) & (starts > q - span)]
-            ok = np.ones(len(starts), bool)
-            for own in around:
-                at = np.searchsorted(own, starts)
-                ok &= (at < len(own)) & (own[np.minimum(at, len(own) - 1)] < starts + span)
-            if ok.any():
-                out.add(int(np.searchsorted(self.firsts, q, "right")) - 1)
+        self.doc_ids, self.n_words, self.firsts = row["doc_ids"], np.array(row["n_words"], np.int64), np.array(row["firsts"], np.int64)
+        self.place_of = {t: i for i, t in enumerate(row["terms"])}
+        self.sizes = np.array([*row["sizes"], 0], np.int64)  # the last: of a term that isn't here
+        self.ends = np.cumsum(self.sizes)
+        raw = np.frombuffer(row["postings"], np.uint32).astype(np.int64)
+        total = np.cumsum(raw)
+        first = (self.ends - self.sizes)[:-1]
+        before = np.repeat(total[first] - raw[first], self.sizes[:-1]) if len(raw) else raw
+        self.postings = np.repeat(np.arange(len(first)) * TERM, self.sizes[:-1]) + total - before
+
+    def numbers(self, terms: list[bytes]) -> np.ndarray:
+        none = len(self.sizes) - 1
+        return np.fromiter((self.place_of.get(t, none) for t in terms), np.int64, len(terms))
+
+    def at_or_after(self, key: np.ndarray) -> np.ndarray:
+        """The first posting that is not less than each key; beyond the last one a number that none equals."""
+        i = np.searchsorted(self.postings, key)
+        return np.where(i < len(self.postings), self.postings[np.minimum(i, len(self.postings) - 1)], np.iinfo(np.int64).max) if len(self.postings) else np.full(len(key), np.iinfo(np.int64).max)
+
+    def tries(self, terms: np.ndarray):
+        """Rows of windows whose terms are all here, with the places of each row's rarest term, a part at a time."""
+        rows = np.flatnonzero((self.sizes[terms] > 0).all(axis=1))
+        order = np.argsort(self.sizes[terms[rows]], axis=1, kind="stable")
+        count = self.sizes[terms[rows, order[:, 0]]]
+        cuts = np.searchsorted(np.cumsum(count), np.arange(TRIED, int(count.sum()) + TRIED, TRIED)) + 1 if len(rows) else []
+        a = 0
+        for z in cuts:
+            z = min(int(z), len(rows))
+            if z <= a:
+                continue
+            n = count[a:z]
+            at = np.repeat(np.arange(a, z), n)
+            rare = terms[rows[a:z], order[a:z, 0]]
+            i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ends[rare] - self.sizes[rare], n)
+            yield rows[at], order[at], self.postings[i] % TERM
+            a = z
+
+    def exact(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first position) of every occurrence of the phrases, one to a row of ``terms``."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for row, order, place in self.tries(terms):
+            start = place - order[:, 0]
+            for k in range(1, terms.shape[1]):
+                key = terms[row, order[:, k]] * TERM + start + order[:, k]
+                ok = (start + order[:, k] >= 0) & (self.at_or_after(key) == key)
+                row, order, start = row[ok], order[ok], start[ok]
+            out.append((row, start))
+        return np.concatenate([r for r, _ in out]), np.concatenate([p for _, p in out])
+
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, place, "right") - 1
+
+    def near(self, terms: np.ndarray, span: int) -> set[tuple[int, int]]:
+        """(row, document's place in the shard) where some ``span`` words of a document hold all of a row's terms."""
+        out: set[tuple[int, int]] = set()
+        for row, order, q in self.tries(terms):
+            d = self.doc(q)
+            low, high = np.maximum(self.firsts[d], q - span + 1), np.minimum(self.firsts[d] + self.n_words[d], q + span)
+            for k in range(1, terms.shape[1]):
+                t = terms[row, order[:, k]] * TERM
+                ok = self.at_or_after(t + low) < t + high
+                row, order, q, d, low, high = row[ok], order[ok], q[ok], d[ok], low[ok], high[ok]
+            for r, at, doc, a, z in zip(row.tolist(), q.tolist(), d.tolist(), low.tolist(), high.tolist(), strict=True):
+                if (r, doc) in out:
+                    continue
+                around = [self.postings[slice(*np.searchsorted(self.postings, (t * TERM + a, t * TERM + z)))] - t * TERM for t in set(terms[r].tolist())]
+                # spans that hold the rarest term's place start at one of the terms' places
+                starts = np.unique(np.concatenate(around))
+                starts = starts[(starts <= at) & (starts > at - span)]
+                if all_in(starts, around, span).any():
+                    out.add((r, doc))
         return out
 
 
+def all_in(starts: np.ndarray, around: list[np.ndarray], span: int) -> np.ndarray:
+    """Which of the spans hold a place of each list."""
+    ok = np.ones(len(starts), bool)
+    for own in around:
+        i = np.searchsorted(own, starts)
+        ok &= (i < len(own)) & (own[np.minimum(i, len(own) - 1)] < starts + span)
+    return ok
+
+
 MATCHES = "shard string, doc int, doc_id long, th long, n_words long, starts array<long>, widths array<long>, items array<string>, near_items array<string>"
 _MATCHES = pa.schema([("shard", pa.string()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("widths", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
 
 def _search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int, span: int | None) -> DataFrame:
-    owners: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-    for item, own in items:
-        for w in windows(own, width):
-            owners[w].append(item)
-    sent = index.sparkSession.sparkContext.broadcast(dict(owners))
+    sent = index.sparkSession.sparkContext.broadcast(Windows(items, width))
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             for row in b.to_pylist():
-                s = Shard(row)
+                s, w = Shard(row), sent.value
+                number = s.numbers(w.terms)[w.words]
                 starts, widths, said, close = defaultdict(list), defaultdict(list), defaultdict(set), defaultdict(set)
-                for w, who in sent.value.items():
-                    if min(map(s.size, w)) == 0:
-                        continue
-                    found = s.exact(w)
-                    for d, p in zip((np.searchsorted(s.firsts, found, "right") - 1).tolist(), found.tolist(), strict=True):
-                        starts[d].append(p - int(s.firsts[d]))
-                        widths[d].append(len(w))
-                        said[d].update(who)
-                    for d in s.near(w, span) if span else ():
-                        close[d].update(who)
+                for size in np.unique(w.size).tolist():
+                    own = np.flatnonzero(w.size == size)
+                    for k in range(0, len(own), TRIED // width):
+                        part = own[k : k + TRIED // width]
+                        terms = number[w.start[part][:, None] + np.arange(size)]
+                        rows, found = s.exact(terms)
+                        docs = s.doc(found)
+                        for d, r, p in zip(docs.tolist(), rows.tolist(), (found - s.firsts[docs]).tolist(), strict=True):
+                            starts[d].append(p)
+                            widths[d].append(size)
+                            said[d].add(w.items[w.owner[part[r]]])
+                        for r, d in s.near(terms, span) if span else ():
+                            close[d].add(w.items[w.owner[part[r]]])
                 n = len(s.doc_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([row["shard"]] * n, list(range(n)), s.doc_ids, row["hashes"], s.n_words, [starts[d] for d in range(n)], [widths[d] for d in range(n)], [sorted(said[d]) for d in range(n)], [sorted(close[d]) for d in range(n)]), _MATCHES, strict=True)], schema=_MATCHES)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([row["shard"]] * n, list(range(n)), s.doc_ids, row["hashes"], row["n_words"], [starts[d] for d in range(n)], [widths[d] for d in range(n)], [sorted(said[d]) for d in range(n)], [sorted(close[d]) for d in range(n)]), _MATCHES, strict=True)], schema=_MATCHES)
 
     # a task holds one shard at a time
     return index.mapInArrow(run, MATCHES)
@@ -219,11 +255,6 @@ def search(index: DataFrame, items: DataFrame, width: int = WIDTH, span: int | N
     return out
 
 
-def vocabulary(items: DataFrame) -> set[bytes]:
-    """Terms of the test items: they bound it, not the documents."""
-    return {w for block in item_blocks(items) for _, own in block for w in own}
-
-
 def hits(n_words: int, starts: list[int], widths: list[int]) -> np.ndarray:
     edge = np.zeros(n_words + 1, np.int64)
     np.add.at(edge, np.array(starts, np.int64), 1)
@@ -234,10 +265,10 @@ def hits(n_words: int, starts: list[int], widths: list[int]) -> np.ndarray:
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near_items counts the items of which
     a window's terms lie within ``width + slop`` words."""
-    found = search(build_index(docs, vocabulary(items)), items, width, width + slop)
+    found = search(build_index(docs), items, width, width + slop)
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             rows = b.to_pylist()
             hit = [int(hits(r["n_words"], r["starts"], r["widths"]).sum()) if r["starts"] else 0 for r in rows]
             sha = [hashlib.sha256(",".join(sorted(set(r["items"]))).encode()).hexdigest() for r in rows]
@@ -252,7 +283,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFra
     Documents are told by id and text, null-safely, so of repeated rows all go or all stay.
     """
     keyed = docs.withColumns(dict(zip(names := fresh(docs, "key_id", "key_text"), (F.col("doc_id").cast("long"), F.xxhash64("text")), strict=True)))
-    index = build_index(docs, vocabulary(items))
+    index = build_index(docs)
     bad = merged(search(index, items, width)).filter(F.size("starts") > 0).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct()
     return keyed.join(bad, keyed[names[0]].eqNullSafe(bad.bad_id) & (keyed[names[1]] == bad.bad_th), "left_anti").select(*docs.columns)
 

@@ -2,9 +2,10 @@
 
 Texts are lower-cased, runs of characters that aren't letters become one blank, and each n-gram of
 1 to 3 characters is hashed into one of BUCKETS. Training counts n-grams of all training rows per
-language, partition by partition, and adds the counts up; the smoothed log-probability matrix, of a
-size that BUCKETS and the number of languages bound, goes to the executors with the scoring function.
-Scoring gathers the matrix's rows for a batch of texts at once and adds them up per text.
+language, partition by partition, and adds the counts up in a table. The smoothed log-probability matrix
+goes to the executors in blocks of LANGUAGES languages, whose size BUCKETS bounds: usually one block.
+Scoring gathers a block's rows for a batch of texts at once and adds them up per text; with several blocks
+each gives its best language and the logarithm of its sum, and Spark expressions join these.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text where
 no language was learned. Rows without a language or letters teach nothing. Ties go to the language that
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, small_batches, texts
+from .common import append, cut, fresh, texts, written
 
 BUCKETS, SIZES, ALPHA = 1 << 16, (1, 2, 3), 0.5
-#: More languages than this would make the broadcast matrix large.
-MAX_LANGUAGES = 512
+#: Languages of one broadcast block of the matrix: 32 MB.
+LANGUAGES = 128
 #: Counts leave a training task in rows of so many buckets.
 BLOCK = 4096
 #: Characters that are hashed at once.
@@ -85,73 +86,87 @@ def blocks(batch: list[bytes | None]):
         yield start, batch[start:]
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their log-probabilities, buckets by languages, prior in the last row.
+Model = list[tuple[list[str], np.ndarray]]
 
-    Counts cover all rows of ``docs``; only sums per language and bucket reach the driver.
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", languages: int = LANGUAGES) -> Model:
+    """Blocks of languages, in order, and their log-probabilities: buckets by languages, prior in the last row.
+
+    Counts cover all rows of ``docs``; only sums per language and bucket reach the driver, a block at a time.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+
+        def done():
+            for x in sums:
+                parts = [(i, sums[x][i : i + BLOCK].tolist()) for i in range(0, BUCKETS + 1, BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(parts)), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.list_(pa.int64()))], names=["lang", "first", "n"])
+
+        for b in cut(batches):
             langs = b.column(0).to_pylist()
             for first, part in blocks(texts(b)):
                 ids, at, has = ngrams(part)
                 own = langs[first : first + len(part)]
-                names = sorted(set(own))
-                code = np.array([names.index(x) for x in own])
-                got = np.bincount(code[at].astype(np.int64) * BUCKETS + ids, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for k, x in enumerate(names):
+                for x in sorted(set(own)):
+                    if x not in sums and len(sums) >= languages:  # a task holds so many languages' sums at most
+                        yield from done()
+                        sums = {}
+                    mine = np.array([y == x for y in own])
                     sums.setdefault(x, np.zeros(BUCKETS + 1, np.int64))
-                    sums[x][:BUCKETS] += got[k]
-                    sums[x][BUCKETS] += int((has & (code == k)).sum())
-        for x in sums:
-            parts = [(i, sums[x][i : i + BLOCK].tolist()) for i in range(0, BUCKETS + 1, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(parts)), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.list_(pa.int64()))], names=["lang", "first", "n"])
+                    sums[x][:BUCKETS] += np.bincount(ids[mine[at]], minlength=BUCKETS)
+                    sums[x][BUCKETS] += int((has & mine).sum())
+        yield from done()
 
     parts = rows.mapInArrow(run, "lang string, first int, n array<long>")
     # added up element by element: a language and block has one row for each task
     summed = parts.select("lang", "first", F.posexplode("n").alias("i", "n")).filter("n > 0").groupBy("lang", (F.col("first") + F.col("i")).alias("bucket")).agg(F.sum("n").alias("n"))
-    got = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("all"))
-    if (n := docs.select(lang).distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages ({n})")
-    counts: dict[str, np.ndarray] = {}
-    for r in got.toLocalIterator():
-        counts[r["lang"]] = np.zeros(BUCKETS + 1)
-        for x in r["all"]:
-            counts[r["lang"]][x["bucket"]] = x["n"]
-    names = sorted(x for x, c in counts.items() if c[:BUCKETS].sum() > 0 and c[BUCKETS] > 0)
-    if not names:
-        return [], np.zeros((BUCKETS + 1, 0), np.float32)
-    m = np.stack([counts[x] for x in names], 1)
-    grams = m[:BUCKETS] + ALPHA
-    return names, np.concatenate([np.log(grams / grams.sum(0)), np.log(m[BUCKETS:] / m[BUCKETS:].sum())]).astype(np.float32)
-
-
-def score(batch: list[bytes | None], names: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
-    preds, scores = [], []
+    summed = written(summed, "ngram-counts")
+    known = summed.groupBy("lang").agg(F.sum(F.when(F.col("bucket") < BUCKETS, F.col("n"))).alias("grams"), F.sum(F.when(F.col("bucket") == BUCKETS, F.col("n"))).alias("texts"))
+    known = {r["lang"]: r["texts"] for r in known.filter("grams > 0 and texts > 0").collect()}
+    names, every, model = sorted(known), sum(known.values()), []
+    for k in range(0, len(names), languages):
+        own = names[k : k + languages]
+        place = {x: i for i, x in enumerate(own)}
+        m = np.zeros((BUCKETS, len(own)))
+        got = summed.filter((F.col("bucket") < BUCKETS) & F.col("lang").isin(*own)).toPandas()
+        m[got["bucket"].to_numpy(), got["lang"].map(place).to_numpy()] = got["n"].to_numpy()
+        grams = m + ALPHA
+        prior = np.log(np.array([[known[x] for x in own]]) / every)
+        model.append((own, np.concatenate([np.log(grams / grams.sum(0)), prior]).astype(np.float32)))
+    return model
+
+
+def score(batch: list[bytes | None], names: list[str], logp: np.ndarray) -> tuple[list, list, list]:
+    """Each text's best language of a block, its log-probability, and the logarithm of the block's sum (null: no letters)."""
+    preds, tops, sums = [], [], []
     for _, part in blocks(batch):
         ids, at, has = ngrams(part)
-        if not names:
-            preds += ["und"] * len(part)
-            scores += [0.0] * len(part)
-            continue
         total = np.stack([np.bincount(at, weights=logp[:BUCKETS, k][ids], minlength=len(part)) for k in range(len(names))], 1) + logp[BUCKETS]
-        best = total.argmax(1)
-        p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        preds += [names[b] if h else "und" for b, h in zip(best, has, strict=True)]
-        scores += np.where(has, p, 0.0).tolist()
-    return preds, scores
+        best, top = total.argmax(1), total.max(1)
+        whole = top + np.log(np.exp(total - top[:, None]).sum(1))
+        preds += [names[b] if h else None for b, h in zip(best, has, strict=True)]
+        tops += [t if h else None for t, h in zip(top.tolist(), has, strict=True)]
+        sums += [w if h else None for w, h in zip(whole.tolist(), has, strict=True)]
+    return preds, tops, sums
 
 
-def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text") -> tuple[DataFrame, str, str]:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str, str]:
     """``docs`` with its texts' languages and the posterior probability of each, and the two names."""
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((names, logp))
     pred, prob = fresh(docs, "lang_pred", "score")
-    return append(docs, [(pred, "string"), (prob, "double")], lambda ts: score(ts, *sent.value), text), pred, prob
+    df, steps = docs, []
+    for names, logp in model:
+        sent = docs.sparkSession.sparkContext.broadcast((names, logp))
+        step = fresh(df, "block_lang", "block_top", "block_sum")
+        df = append(df, list(zip(step, ("string", "double", "double"), strict=True)), lambda ts, sent=sent: score(ts, *sent.value), text)
+        steps.append([F.col(c) for c in step])
+    if not steps:
+        return docs.select("*", F.lit("und").alias(pred), F.lit(0.0).alias(prob)), pred, prob
+    top = F.greatest(*(t for _, t, _ in steps)) if len(steps) > 1 else steps[0][1]
+    said = F.coalesce(*(F.when(t == top, x) for x, t, _ in steps), F.lit("und"))  # of equals the block that comes first
+    share = 1 / sum((F.exp(s - top) for _, _, s in steps[1:]), F.exp(steps[0][2] - top))
+    return df.select(*(F.col(c) for c in docs.columns), said.alias(pred), F.coalesce(share, F.lit(0.0)).alias(prob)), pred, prob
 
 
 def held_out() -> Column:
@@ -160,6 +175,5 @@ def held_out() -> Column:
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from rows that aren't held out, predicted for all."""
-    names, logp = train(docs.filter(~held_out()))
-    df, _, _ = predict(docs.select("doc_id", "text"), names, logp)
+    df, _, _ = predict(docs.select("doc_id", "text"), train(docs.filter(~held_out())))
     return df.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

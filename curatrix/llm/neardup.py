@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, record, small_batches, texts, with_key, written
+from .common import cut, fresh, record, texts, with_key, written
 from .graph import components
 
 SIZE, PERCENT = 5, 75
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             n, sets, sigs, bands = [], [], [], []
             for t in texts(b):
                 h = shingles(t)
@@ -157,7 +157,7 @@ def confirmed(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
     def run(batches):
         at, base = None, None
-        for b in batches:
+        for b in cut(batches):
             out = []
             for pivot, salt, turn, nid, text in zip(*(b.column(i).to_pylist() for i in range(4)), texts(b), strict=True):
                 if turn == 0:
@@ -179,7 +179,7 @@ def private_counts(stored: DataFrame) -> DataFrame:
     schema = pa.schema([("nid", pa.int64()), ("h", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             for nid, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
                 h = shingles(text).view(np.int64)
                 yield record(schema, [pa.array(np.full(len(h), nid, np.int64)), pa.array(h)])
@@ -195,7 +195,7 @@ def wide_signatures(stored: DataFrame) -> DataFrame:
     schema = pa.schema([("nid", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             yield record(schema, [b.column(0), [packed(minima(shingles(t), WIDE_HASHES)) for t in texts(b)]])
 
     return stored.select("nid", "text").mapInArrow(run, "nid long, wide array<long>")
@@ -208,7 +208,6 @@ def may_link(n: Column, own: Column, n2: Column, own2: Column) -> Column:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, component_id, class (nid; null: empty set), for every row of ``docs``."""
-    small_batches(docs.sparkSession)
     seen = written(sketches(docs), "sketches")
     classes = seen.filter("n > 0").groupBy("set").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("nid"), "set", "rep.doc_id", "rep.th", "least", "n", "sig", "bands"), "classes")

@@ -5,9 +5,12 @@ and its other tokens that hold a digit or an @. Potentials join a node with its
 next node (chain), and with distant nodes of the same or a similar value (skip): an address that is
 known in one place pulls its repetitions along. Equal values are linked one occurrence to the next, and
 every other mention to the first base span of its value and kind, so that evidence does not fade along
-the links and edges stay linear in nodes. Labels come from loopy max-marginals of sum-product message passing over
-each document. Weights are fitted by pseudo-likelihood on node rows of a bounded sample, with base
-spans as labels; tokens that resemble a base span have no known label and are left out of the fit.
+the links and edges stay linear in nodes. Repeated and similar tokens share one potential. Labels come from
+loopy max-marginals of sum-product message passing over each document, until no message moves by more than
+TOLERANCE. Weights are fitted by pseudo-likelihood on the nodes of a bounded sample of texts, with base
+spans as labels; tokens that resemble a base span have no known label and are left out of the fit. The fit
+is a maximum a posteriori one: the skip weight has a Gaussian prior of mean SKIP_PRIOR, as texts in which a
+labelled value repeats are rare, and all other weights one of mean 0.
 The field adds spans, never removes a base span, and never touches one.
 
 Defined cases: null and empty texts have no spans; texts without digits and @ have no nodes; without
@@ -18,18 +21,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, small_batches, texts
+from .common import append, cut, fresh, sampled, texts
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Node rows that the weights are fitted on: those with the least hash.
-SAMPLE_NODES = 20_000
-ROUNDS, ADD_ABOVE = 8, 0.6
+#: Texts, those with the least hash, whose nodes the weights are fitted on, and nodes taken of these.
+SAMPLE_TEXTS, SAMPLE_NODES = 5_000, 20_000
+#: Mean of the skip weight's prior, and the pull of the priors.
+SKIP_PRIOR, PULL = 3.0, 1e-4
+#: Message passing is damped; on the rare graphs where it swings for ever it ends after MOST_ROUNDS.
+TOLERANCE, MOST_ROUNDS, ADD_ABOVE = 1e-4, 200, 0.6
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _AT, _DOMAIN = re.compile("@"), re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -115,16 +123,15 @@ class Field:
     def __init__(self, text: str, base: list[Span]):
         self.spans: list[tuple[int, int]] = []
         self.label: list[int] = []
-        ends = sorted((a, b) for _, a, b in base)
+        taken = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         nodes = [(a, b, 1 + KINDS.index(k)) for k, a, b in base]
-        at = 0
         for m in _TOKEN.finditer(text):
             if not _ANY.search(m[0]):
                 continue
             a, b = m.span()
-            while at < len(ends) and ends[at][1] <= a:
-                at += 1
-            if any(x < b and y > a for x, y in ends[at : at + 8]):
+            before = bisect_left(starts, b)  # base spans that start before the token's end
+            if before and reach[before - 1] > a:
                 continue
             s = m[0]
             a += len(s) - len(s.lstrip(_EDGE))
@@ -191,13 +198,13 @@ def training_rows(text: str) -> list[tuple[int, list[float]]]:
     return [(int(y[i]), [*f.x[i], *around[i].ravel()]) for i in np.flatnonzero(known)]
 
 
-def fit(docs: DataFrame, sample_nodes: int = SAMPLE_NODES) -> dict[str, np.ndarray] | None:
-    """Weights: unary (L x features), chain (L x L), skip (2: same, similar)."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_nodes: int = SAMPLE_NODES) -> dict[str, np.ndarray] | None:
+    """Weights: unary (L x features), chain (L x L), skip (one number)."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    rows = sampled(rows, [F.col("text")], sample_texts).select(F.xxhash64("text").alias("h"), "text")
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             got = [(h, i, y, x) for h, t in zip(b.column(0).to_pylist(), texts(b), strict=True) for i, (y, x) in enumerate(training_rows(t.decode()))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.list_(pa.float64()))], names=["h", "i", "y", "x"])
 
@@ -208,50 +215,55 @@ def fit(docs: DataFrame, sample_nodes: int = SAMPLE_NODES) -> dict[str, np.ndarr
     y, x = got["y"].to_numpy(), np.stack(got["x"].to_list())
     nf, n = len(FEATURES), len(y)
     feats, around = x[:, :nf], x[:, nf:].reshape(n, 4, L)
-    w = {"unary": np.zeros((L, nf)), "chain": np.zeros((L, L)), "skip": np.zeros(2)}
+    skip = around[:, 2] + around[:, 3]
+    w = {"unary": np.zeros((L, nf)), "chain": np.zeros((L, L)), "skip": np.full(1, SKIP_PRIOR)}
+    mean = {k: v.copy() for k, v in w.items()}
     speed = {k: np.zeros_like(v) for k, v in w.items()}
     one = np.eye(L)[y]
     for _ in range(300):
-        z = feats @ w["unary"].T + around[:, 0] @ w["chain"] + around[:, 1] @ w["chain"].T + np.tensordot(around[:, 2:], w["skip"], ((1,), (0,)))
+        z = feats @ w["unary"].T + around[:, 0] @ w["chain"] + around[:, 1] @ w["chain"].T + skip * w["skip"]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         e = (one - p) / n
-        grad = {"unary": e.T @ feats, "chain": around[:, 0].T @ e + e.T @ around[:, 1], "skip": np.array([(around[:, 2] * e).sum(), (around[:, 3] * e).sum()])}
+        grad = {"unary": e.T @ feats, "chain": around[:, 0].T @ e + e.T @ around[:, 1], "skip": np.array([(skip * e).sum()])}
         for k in w:
-            speed[k] = 0.9 * speed[k] + grad[k] - 1e-4 * w[k]
+            speed[k] = 0.9 * speed[k] + grad[k] - PULL * (w[k] - mean[k])
             w[k] = w[k] + 0.5 * speed[k]
-    # repetitions are rare in some corpora: agreement of equal values never counts less than this
-    w["skip"] = np.maximum(w["skip"], [4.0, 3.0])
     return w
 
 
 def marginals(f: Field, w: dict[str, np.ndarray]) -> np.ndarray:
     """Loopy sum-product over one document: probability of each label at each node."""
-    n = len(f.label)
     unary = f.x @ w["unary"].T
     given = f.label > 0
     unary[given] = -1e9
     unary[given, f.label[given]] = 0.0
-    if not len(f.edges):
-        p = np.exp(unary - unary.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-    i, j, kind = f.edges.T
-    agree = np.eye(L)
-    pots = np.stack([w["chain"], agree * w["skip"][0], agree * w["skip"][1]])[kind]  # from i to j
-    src, dst = np.concatenate([i, j]), np.concatenate([j, i])
-    pot = np.concatenate([pots, pots.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
-    msg = np.zeros((len(src), L))
-    for _ in range(ROUNDS):
+    belief = unary
+    if len(f.edges):
+        i, j, kind = f.edges.T
+        pots = np.stack([w["chain"], np.eye(L) * w["skip"]])[np.minimum(kind, 1)]  # from i to j
+        src, dst = np.concatenate([i, j]), np.concatenate([j, i])
+        pot = np.concatenate([pots, pots.transpose(0, 2, 1)])
+        back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
+        order = np.argsort(dst, kind="stable")
+        first = np.searchsorted(dst[order], np.arange(len(unary)))
+        some = np.bincount(dst, minlength=len(unary)) > 0
+        msg = np.zeros((len(src), L))
+        for _ in range(MOST_ROUNDS):
+            belief = unary.copy()
+            belief[some] += np.add.reduceat(msg[order], first[some], axis=0)
+            out = (belief[src] - msg[back])[:, :, None] + pot
+            top = out.max(1, keepdims=True)
+            new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+            new -= new.max(1, keepdims=True)
+            # what lies this far below the best label can't matter, and would hide that the rest has settled
+            new = np.maximum(new, -50.0)
+            moved = np.abs(new - msg).max()
+            msg = 0.5 * msg + 0.5 * new
+            if moved < TOLERANCE:
+                break
         belief = unary.copy()
-        np.add.at(belief, dst, msg)
-        out = (belief[src] - msg[back])[:, :, None] + pot
-        top = out.max(1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        msg = 0.5 * msg + 0.5 * new
-    belief = unary.copy()
-    np.add.at(belief, dst, msg)
+        belief[some] += np.add.reduceat(msg[order], first[some], axis=0)
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -281,7 +293,6 @@ def redact(text: str, found: list[Span]) -> str:
 
 def with_spans(docs: DataFrame, w, text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with base spans, all spans (both as rendered) and the redacted text; and these names."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(w)
     names = fresh(docs, "base", "spans", "redacted")
 
@@ -301,7 +312,6 @@ def with_spans(docs: DataFrame, w, text: str = "text") -> tuple[DataFrame, list[
 
 def personal(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(ts):

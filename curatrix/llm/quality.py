@@ -7,7 +7,8 @@ Spark conditional expression, so that applying it stays inside Spark's generated
 
 Defined cases: a null or blank text has no words, so its statistics are 0 and it fails the base rule.
 Repeated rows get equal answers. Labels that are null, or that belong to no document, teach nothing;
-a document that is labelled twice counts with both labels. Without labels the list is empty and the
+a document that is labelled twice counts with both labels; of documents with one id the one with the least
+counts teaches. Without labels the list is empty and the
 base rule alone decides. Columns of the input never clash: only doc_id and text are read.
 """
 
@@ -19,9 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, small_batches
+from .common import append, fresh, sampled
 
-#: Labelled rows that a list is learned from: those with the least hash of their doc_id.
+#: Labelled rows that a list is learned from: about those with the least hash of their doc_id and label.
 SAMPLE_ROWS = 20_000
 #: A learned rule must be right for this share of the rows held out for pruning, else it is not kept.
 MIN_PRECISION, MIN_COVERED, MAX_RULES, MAX_CONDITIONS = 0.9, 5, 12, 4
@@ -63,7 +64,6 @@ def count(text: bytes | None) -> tuple[int, ...]:
 
 def statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``df`` with a long column for each of COUNTS, and the names that these columns got."""
-    small_batches(df.sparkSession)
     names = dict(zip(COUNTS, fresh(df, *COUNTS), strict=True))
     return append(df, [(n, "long") for n in names.values()], lambda ts: list(zip(*map(count, ts), strict=True)) or [[]] * len(COUNTS), text), names
 
@@ -163,8 +163,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     The bound is also what makes the broadcast and the collected statistics small.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    chosen = sampled(chosen, [F.col("doc_id"), F.col("quality")], sample_rows)
     seen, names = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
+    # of documents that share an id the one with the least counts teaches, so the bound on rows holds for any ids
+    seen = seen.groupBy("doc_id", "quality").agg(F.min(F.struct(*names.values())).alias("s")).select("doc_id", "quality", "s.*")
     cols = features(names)
     rows = seen.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("prune"), *(c.alias(k) for k, c in cols.items())).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")

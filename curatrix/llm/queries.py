@@ -25,7 +25,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(chat.TURN_SCHEMAS, chat.SCHEMA_COLUMNS)
+    return chat.linked(chat.with_calls(table(spark, sf_dir, "conversations")), schemas)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, small_batches, texts, with_key, written
+from .common import cut, record, texts, with_key, written
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -87,7 +87,7 @@ def found(docs: DataFrame, symbols, width: int, base: int) -> DataFrame:
     """All stretches of ``docs``. symbols: the UTF-8 text to an array of one uint64 per symbol."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             cols = [[], [], [], [], [], [], []]
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
                 v = symbols(text)
@@ -114,7 +114,6 @@ def candidates(docs: DataFrame, symbols, width: int, base: int) -> tuple[DataFra
     whole: (doc_id, th, p, n), stretches whose windows all repeat. edges: (h, doc_id, th, p, n, known),
     stretches to compare by window; known: its windows repeat in any case, but others may equal them.
     """
-    small_batches(docs.sparkSession)
     every = found(docs, symbols, width, base)
     shared = every.groupBy("h").agg(F.count("*").alias("times"), F.max("own").alias("inside")).filter("times > 1 or inside").select("h", "times")
     some = written(every.join(shared, "h"), "stretches")
@@ -126,8 +125,11 @@ def candidates(docs: DataFrame, symbols, width: int, base: int) -> tuple[DataFra
 
 
 def with_lists(docs: DataFrame, spans: DataFrame, how: str, *columns: str) -> DataFrame:
-    """(doc_id, th, text, spans): a document's rows of ``spans`` in one list, as it is in one row itself."""
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    """(doc_id, th, text, spans): a document's distinct rows of ``spans`` in one list, as it is in one row itself.
+
+    Rows that repeat a document have equal spans, so the list grows with the text, not with the rows.
+    """
+    lists = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*columns)).alias("spans"))
     lists = lists.select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "spans")
     keyed = with_key(docs)
     return keyed.join(lists, keyed.doc_id.eqNullSafe(lists.span_id) & (keyed.th == lists.span_th), how).select("doc_id", "th", "text", "spans")

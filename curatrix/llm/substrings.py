@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, texts, written
+from .common import cut, record, texts, written
 from .repeats import candidates, covered, mix, rolling, with_lists
 
 WIDTH = 35
@@ -47,7 +47,7 @@ def repeated_windows(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), *((c, pa.int64()) for c in names)])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             cols = [[] for _ in schema]
             spans = b.column(3).to_pylist()
             for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), spans, strict=True):
@@ -85,7 +85,7 @@ def removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             out = []
             for doc_id, text, own in zip(b.column(0).to_pylist(), texts(b), b.column(3).to_pylist(), strict=True):
                 words = text.split() if text else []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, texts, written
+from .common import cut, record, texts, written
 from .repeats import candidates, covered, mix, rolling, with_lists
 
 WIDTH, BASE = 200, 48
@@ -127,7 +127,7 @@ def from_buckets(strings: DataFrame, width: int) -> DataFrame:
                 cols[3] += (ends - starts + 1).tolist()
             return record(_WINDOW, cols)
 
-        for b in batches:
+        for b in cut(batches):
             for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != last and size > PACK // 4:
                     yield done()
@@ -147,7 +147,7 @@ def from_hashes(strings: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             for _, doc_id, th, p, known, s in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 v = symbols(s)
                 a, b = rolling(v, width).view(np.int64), rolling(mix(v + np.uint64(0x5851F42D4C957F2D)), width).view(np.int64)
@@ -163,12 +163,12 @@ def spans(docs: DataFrame, width: int = WIDTH, base: int = BASE) -> DataFrame:
     whole, edges = candidates(docs, symbols, width, base)
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("s", pa.binary())])
 
-    def cut(batches):
-        for b in batches:
+    def strings_of(batches):
+        for b in cut(batches):
             out = [(e["h"], doc_id, th, e["p"], e["known"], text[e["p"] : e["p"] + e["n"] + width - 1]) for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist(), strict=True) for e in own]
             yield record(schema, list(zip(*out, strict=True)) or [[]] * 6)
 
-    strings = written(with_lists(docs, edges, "inner", "h", "p", "n", "known").mapInArrow(cut, "h long, doc_id long, th long, p int, known boolean, s binary"), "edge-strings")
+    strings = written(with_lists(docs, edges, "inner", "h", "p", "n", "known").mapInArrow(strings_of, "h long, doc_id long, th long, p int, known boolean, s binary"), "edge-strings")
     large = written(strings.groupBy("h").agg(F.sum(F.octet_length("s") + 1).alias("size")).filter(F.col("size") > PACK).select("h"), "large-names")
     small = from_buckets(strings.join(large, "h", "left_anti"), width)
     out = whole.unionAll(written(small, "repeated"))
@@ -181,7 +181,7 @@ def removed(docs: DataFrame, width: int = WIDTH, base: int = BASE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             out = []
             for doc_id, text, own in zip(b.column(0).to_pylist(), texts(b), b.column(3).to_pylist(), strict=True):
                 text = text or b""

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, small_batches, written
+from .common import cut, record, written
 
 #: Bytes of records that close a frame, compressed bytes that close a bundle.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
@@ -152,7 +152,6 @@ ARCHIVE = "bundle string, data binary, index array<struct<record_id string, fram
 
 def archived(pages: DataFrame) -> DataFrame:
     """Bundles with a record for every row of ``pages`` (page_id, url, html), stored in the shared folder."""
-    small_batches(pages.sparkSession)
     entry = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
     schema = pa.schema([("bundle", pa.string()), ("data", pa.binary()), ("index", entry)])
 
@@ -163,7 +162,7 @@ def archived(pages: DataFrame) -> DataFrame:
             data, index = w.close()
             return record(schema, [[uuid.uuid4().hex], [data], [[dict(zip(("record_id", "frame", "offset", "length"), x, strict=True)) for x in index]]])
 
-        for b in batches:
+        for b in cut(batches):
             for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 w.add(record_id(page_id), render(page_id, url, html.encode(), refers_to, refers_to is not None))
                 if w.full():
@@ -179,7 +178,7 @@ def _rows(pick=None):
     schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             for data, index in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 reader, out, size = Reader(data), [], 0
                 for e in index:
@@ -204,9 +203,6 @@ READ = "record_id string, page_id long, url string, payload_bytes long, payload_
 
 def read(archives: DataFrame) -> DataFrame:
     """Every record of the bundles, parsed; payloads are held against their digests."""
-    small_batches(archives.sparkSession)
-    # a bundle is a row of some megabytes: few at a time
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return archives.select("bundle", "data", "index").mapInArrow(_rows(), READ)
 
 

@@ -70,6 +70,28 @@ def test_substrings_odd(odd, empty, width):
     assert substrings.removed(empty).count() == 0
 
 
+def test_repeated_rows_stay_small(spark):
+    """Rows that repeat a document share one list of spans, in proportion to the text, not to the rows."""
+    text = " ".join(map(str, range(400)))
+    sizes = []
+    for n in (20, 80):
+        df = spark.createDataFrame([(1, text)] * n, "doc_id long, text string")
+        whole = repeats.with_lists(df, substrings.spans(df), "left", "p", "n")
+        got = [len(r["spans"]) for r in whole.select("spans").collect()]
+        assert len(got) == n and len(set(got)) == 1
+        sizes.append(got[0])
+    assert sizes[0] == sizes[1]
+
+
+def test_long_texts(spark):
+    rng = np.random.default_rng(11)
+    long = [f"w{i}" for i in rng.integers(0, 3000, 20_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[5000:5100] + ["x"] + long[700:760])), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removed(df).collect()) == brute_words([t for _, t in rows], 35)
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.removed(df).collect()) == brute_bytes([t for _, t in rows], 200)
+
+
 def test_suffixes(spark, sf_dir, docs):
     rows = queries.op5_suffix_array_dedup(spark, sf_dir).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == brute_bytes(docs.values(), 200)
@@ -221,6 +243,69 @@ def test_tool_calls(spark):
     assert len(got) == 17 and chat.linked(df.limit(0)).count() == 0
 
 
+def brute_calls(messages, schemas):
+    """kind, call_id, depth, status and valid of each event, one conversation at a time, by recursion."""
+    found = {}
+    for conv, turn, role, text in messages:
+        try:
+            said = json.loads(text or "")
+        except ValueError:
+            said = None
+        if role == "assistant" and isinstance(said, dict) and said.get("tool_calls"):
+            for i, c in enumerate(said["tool_calls"]):
+                found[conv, turn, i] = ("call", c["id"], c["name"], c["arguments"], c.get("after") or [])
+        elif role == "tool" and isinstance(said, dict) and "tool_call_id" in said:
+            found[conv, turn, 0] = ("result", said["tool_call_id"], None, None, None)
+        else:
+            found[conv, turn, 0] = ("context", None, role, None, None)
+    first = {}
+    for (conv, turn, i), e in sorted(found.items()):
+        if e[0] != "context":
+            first.setdefault((e[0], conv, e[1]), (turn, i))
+    needs = {(c, k): [n for n in found[(c, *at)][4] if ("call", c, n) in first] for (kind, c, k), at in first.items() if kind == "call"}
+
+    def depth(node, on=()):
+        if node in on:
+            return None
+        below = [depth((node[0], n), (*on, node)) for n in needs.get(node, [])]
+        return None if None in below else 1 + max(below, default=-1)
+
+    out = {}
+    for (conv, turn, i), (kind, k, name, args, _) in found.items():
+        other = ("result" if kind == "call" else "call", conv, k)
+        status = "context" if kind == "context" else "duplicate" if first[kind, conv, k] != (turn, i) else "linked" if other in first else "unlinked"
+        valid = kind != "call" or (name in schemas and set(schemas[name][0]) <= set(args) and all(t in schemas[name][1] and {"integer": int, "string": str}[schemas[name][1][t]] is type(v) for t, v in args.items()))
+        out[conv, turn, i] = (kind, k, depth((conv, k)) if kind != "context" else 0, status, valid)
+    return out
+
+
+def test_tool_calls_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    schemas = {"add": (["x"], {"x": "integer", "y": "string"}), "get": ([], {"k": "string"})}
+    messages = []
+    for conv in range(14):
+        ids = [f"c{i}" for i in range(int(rng.integers(1, 9)))]
+        for turn in range(int(rng.integers(1, 14))):
+            kind = rng.choice(["call", "result", "system"], p=[0.6, 0.3, 0.1])
+            if kind == "call":
+                own = [{"id": str(rng.choice(ids)), "name": str(rng.choice(["add", "get", "no"])), "arguments": [{"x": 1}, {"x": "1"}, {"x": 2, "y": "s"}, {"k": "v"}, {}][int(rng.integers(5))], "after": [str(x) for x in rng.choice([*ids, "zz"], int(rng.integers(0, 3)))]} for _ in range(int(rng.integers(1, 4)))]
+                messages.append((conv, turn, "assistant", json.dumps({"tool_calls": own})))
+            elif kind == "result":
+                messages.append((conv, turn, "tool", json.dumps({"tool_call_id": str(rng.choice([*ids, "q"])), "content": "r"})))
+            else:
+                messages.append((conv, turn, "system", "s"))
+    chained = [{"id": f"n{i}", "name": "get", "arguments": {}, "after": [f"n{i - 1}"] if i else []} for i in range(300)]
+    messages.append((99, 0, "assistant", json.dumps({"tool_calls": [*chained, {"id": "m", "name": "get", "arguments": {}, "after": ["n299", "n7"]}]})))
+    messages.append((98, 0, "tool", json.dumps({"tool_call_id": "big", "content": "x" * 200_000})))
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    table = spark.createDataFrame([(n, *s) for n, s in schemas.items()], chat.SCHEMA_COLUMNS)
+    got = {(r["conv_id"], r["turn"], r["position"]): (r["kind"], r["call_id"], r["depth"], r["status"], r["valid"]) for r in chat.linked(df, table).collect()}
+    want = brute_calls([m for m in messages if m[0] != 99], schemas)
+    assert {k: v for k, v in got.items() if k[0] != 99} == want and {v[3] for v in want.values()} >= {"linked", "unlinked", "duplicate"} and None in {v[2] for v in want.values()}
+    assert got[99, 0, 299][2] == 299 and got[99, 0, 300][2] == 300
+    assert {r["valid"] for r in chat.linked(df.filter("conv_id = 99"), table.limit(0)).collect()} == {False}
+
+
 def test_pipeline(spark, sf_dir, docs):
     """Each stage against brute force on what its predecessor kept."""
     from tests.llm.test_texts import brute_hits
@@ -249,6 +334,8 @@ def test_pipeline(spark, sf_dir, docs):
 def test_stages_odd(spark, sf_dir):
     rows = [(1, None, None, None, None, 0), (None, "a b c d e f", "en", "s", 3, 1), (None, "a b c d e f", "en", "s", 3, 1), (2, "", "en", None, 0, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Key_Id int")
+    assert sorted(r["n_tokens"] for r in dict(corpus_pipeline.STAGES)["byte_bpe"](spark, df, sf_dir).collect())[:2] == [0, 0]
+    assert dict(corpus_pipeline.STAGES)["byte_bpe"](spark, df.limit(0), sf_dir).count() == 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, sf_dir).columns == df.columns
         assert stage(spark, df, sf_dir).count() == {"quality_rules": 0, "near_dedup": 3}.get(name, 4)
