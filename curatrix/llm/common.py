@@ -55,13 +55,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it outlives any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` gave, when what was made from them is written too."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
     """Delete the tables that this application wrote to the shared folder, but those that ``keep`` reads.
 

@@ -4,9 +4,10 @@ A text is a row of symbols (words or bytes). Every window of ``width`` symbols i
 hash among its runs of ``base`` symbols, so equal windows have equal names wherever they stand.
 Consecutive windows with one name are one *stretch*; a text has about 2 / (width - base + 2) stretches a
 symbol, and these, not windows, are shuffled. A name that occurs once can't hold a repeated window
-(unless the text repeats inside the stretch, which is checked). Where all symbols of a stretch occur
-twice as a whole, all its windows repeat. Only stretches whose name is shared but whose symbols are not
-remain: *edges*, where a repeat starts or ends, which the operators compare window by window.
+(unless the text repeats inside the stretch, which is checked). Windows that survive one ``base`` are
+named anew by the next, longer one, until no base is left. Then stretches that are equal as a whole are
+counted as one string: all their windows repeat. Only stretches whose name is shared but whose symbols are
+not remain: *edges*, where a repeat starts or ends, which the operators compare window by window.
 
 Nothing is capped: names, stretches and edges cover all texts. A name that very many texts share is
 counted with partial aggregation and joined like any skewed key.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, record, texts, with_key, written
+from .common import cut, discard, record, texts, with_key, written
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -83,40 +84,76 @@ STRETCH = "h long, sh long, doc_id long, th long, p int, n int, own boolean"
 _STRETCH = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("own", pa.bool_())])
 
 
-def found(docs: DataFrame, symbols, width: int, base: int) -> DataFrame:
-    """All stretches of ``docs``. symbols: the UTF-8 text to an array of one uint64 per symbol."""
+def joined(spans: list[dict]) -> list[tuple[int, int]]:
+    """(first window, number of windows) of spans, those that touch in one."""
+    out: list[list[int]] = []
+    for p, n in sorted((s["p"], s["n"]) for s in spans):
+        if out and p <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], p + n - out[-1][0])
+        else:
+            out.append([p, n])
+    return [(p, n) for p, n in out]
+
+
+def found(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataFrame:
+    """Stretches of (doc_id, th, text), or of the windows in ``spans`` where there is such a column.
+
+    symbols: the UTF-8 text to an array of one uint64 per symbol. whole: with a hash of each stretch's symbols.
+    """
+    some = "spans" in rows.columns
 
     def run(batches):
         for b in cut(batches):
             cols = [[], [], [], [], [], [], []]
-            for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
+            spans = b.column(3).to_pylist() if some else [None] * b.num_rows
+            for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), spans, strict=True):
                 v = symbols(text)
-                name, first, count, own = stretches(v, width, base)
-                if not len(name):
-                    continue
-                raw = memoryview(np.ascontiguousarray(v)).cast("B")
-                sh = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + c + width - 1)]) for a, c in zip(first.tolist(), count.tolist(), strict=True)), np.uint64, len(name))
-                for col, got in zip(cols, (name.view(np.int64), sh.view(np.int64), None, None, first, count, own), strict=True):
-                    if got is not None:
-                        col.append(got)
-                cols[2].append((doc_id, len(name)))
-                cols[3].append((th, len(name)))
+                for at, n in joined(own) if some else [(0, len(v) - width + 1)]:
+                    part = v[at : at + n + width - 1]
+                    name, first, count, twice = stretches(part, width, base)
+                    if not len(name):
+                        continue
+                    sh = np.zeros(len(name), np.uint64)
+                    if whole:
+                        raw = memoryview(np.ascontiguousarray(part)).cast("B")
+                        sh = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + c + width - 1)]) for a, c in zip(first.tolist(), count.tolist(), strict=True)), np.uint64, len(name))
+                    for col, got in zip(cols, (name.view(np.int64), sh.view(np.int64), None, None, first + at, count, twice), strict=True):
+                        if got is not None:
+                            col.append(got)
+                    cols[2].append((doc_id, len(name)))
+                    cols[3].append((th, len(name)))
             if cols[0]:
                 key = [pa.array(np.repeat(np.array([0 if x is None else x for x, _ in c], np.int64), [n for _, n in c]), mask=np.repeat([x is None for x, _ in c], [n for _, n in c])) for c in cols[2:4]]
                 yield record(_STRETCH, [pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), *key, pa.array(np.concatenate(cols[4]).astype(np.int32)), pa.array(np.concatenate(cols[5]).astype(np.int32)), pa.array(np.concatenate(cols[6]))])
 
-    return with_key(docs).mapInArrow(run, STRETCH)
+    return rows.mapInArrow(run, STRETCH)
 
 
-def candidates(docs: DataFrame, symbols, width: int, base: int) -> tuple[DataFrame, DataFrame]:
+def survivors(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataFrame:
+    """The stretches whose name occurs again, stored."""
+    every = written(found(rows, symbols, width, base, whole), "named")
+    shared = every.groupBy("h").agg(F.count("*").alias("times"), F.max("own").alias("inside")).filter("times > 1 or inside").select("h", "times")
+    out = written(every.join(shared, "h").select(*(c for c in every.columns if whole or c in ("doc_id", "th", "p", "n")), *(["times"] if whole else [])), "stretches")
+    discard(every)
+    return out
+
+
+def candidates(docs: DataFrame, symbols, width: int, bases: list[int]) -> tuple[DataFrame, DataFrame]:
     """(whole, edges), both in the shared folder.
 
     whole: (doc_id, th, p, n), stretches whose windows all repeat. edges: (h, doc_id, th, p, n, known),
     stretches to compare by window; known: its windows repeat in any case, but others may equal them.
     """
-    every = found(docs, symbols, width, base)
-    shared = every.groupBy("h").agg(F.count("*").alias("times"), F.max("own").alias("inside")).filter("times > 1 or inside").select("h", "times")
-    some = written(every.join(shared, "h"), "stretches")
+    rows, before = with_key(docs), None
+    for base in bases[:-1]:
+        left = survivors(rows, symbols, width, base, False)
+        rows = with_lists(docs, left, "inner", "p", "n")
+        if before is not None:
+            discard(before)
+        before = left
+    some = survivors(rows, symbols, width, bases[-1], True)
+    if before is not None:
+        discard(before)
     kinds = some.groupBy("h", "sh").agg(F.count("*").alias("same"), F.max("times").alias("times"), F.min(F.struct("doc_id", "th", "p", "n", "own")).alias("one"))
     kinds = written(kinds, "kinds")
     whole = some.join(kinds.filter("same > 1").select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "p", "n")

@@ -2,9 +2,10 @@
 
 The first level takes runs of a quarter of ``width`` words (9 of 35); only the run with the least hash
 of each window is counted, which names the window (see :mod:`.repeats`). Windows whose run repeats are
-extended to twice that length, those that still repeat to twice that again, and the last extension ends
-at ``width``, until no candidates survive or the full length is reached. Stretches that repeat as a whole
-skip the levels between. Hashes of the last level have 128 bits.
+read again and extended: their runs of twice that length (18) are named and counted, and of what survives
+that the full ``width`` is compared, until no candidates survive. Each level hashes only what survived
+the one before. At the full length, equal stretches of windows count as one string, and the rest are compared window by
+window by hashes of 128 bits.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. Defined cases: null, empty and blank texts have no words;
 texts shorter than a window lose none; repeated rows equal each other, so all their windows repeat;
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, record, texts, written
+from .common import cut, discard, record, texts, written
 from .repeats import candidates, covered, mix, rolling, with_lists
 
 WIDTH = 35
@@ -42,9 +43,7 @@ def levels(width: int) -> list[int]:
 
 def repeated_windows(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, p, n = 1): windows of ``edges`` whose words occur again."""
-    steps = levels(width)[1:]
-    names = [f"w{i}" for i in range(len(steps) + 1)]
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), *((c, pa.int64()) for c in names)])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for b in cut(batches):
@@ -53,30 +52,27 @@ def repeated_windows(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame
             for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), spans, strict=True):
                 v = symbols(text)
                 at = np.concatenate([np.arange(s["p"], s["p"] + s["n"]) for s in own])
-                known = np.concatenate([np.full(s["n"], s["known"]) for s in own])
                 cols[0] += [doc_id] * len(at)
                 cols[1] += [th] * len(at)
                 cols[2].append(at.astype(np.int32))
-                cols[3].append(known)
-                for i, size in enumerate(steps):
-                    cols[4 + i].append(rolling(v, size)[at].view(np.int64))
-                cols[-1].append(rolling(mix(v + np.uint64(0x5851F42D4C957F2D)), width)[at].view(np.int64))
+                cols[3].append(np.concatenate([np.full(s["n"], s["known"]) for s in own]))
+                cols[4].append(rolling(v, width)[at].view(np.int64))
+                cols[5].append(rolling(mix(v + np.uint64(0x5851F42D4C957F2D)), width)[at].view(np.int64))
             if cols[0]:
                 yield record(schema, [cols[0], cols[1], *(pa.array(np.concatenate(c)) for c in cols[2:])])
 
-    rows = with_lists(docs, edges, "inner", "p", "n", "known").mapInArrow(run, "doc_id long, th long, p int, known boolean, " + ", ".join(f"{c} long" for c in names))
+    rows = with_lists(docs, edges, "inner", "p", "n", "known").mapInArrow(run, "doc_id long, th long, p int, known boolean, a long, b long")
     rows = written(rows, "windows")
-    for i in range(len(steps)):
-        keys = [names[i]] if i < len(steps) - 1 else names[i:]
-        again = rows.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1").select(*keys)
-        rows = rows.join(again, keys)
-    return rows.filter("not known").select("doc_id", "th", "p", F.lit(1).alias("n"))
+    again = rows.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
+    out = written(rows.filter("not known").join(again, ["a", "b"]).select("doc_id", "th", "p", F.lit(1).alias("n")), "repeated")
+    discard(rows)
+    return out
 
 
 def spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, th, p, n): first window and number of windows that repeat."""
-    whole, edges = candidates(docs, symbols, width, levels(width)[0])
-    return whole.unionAll(written(repeated_windows(docs, edges, width), "repeated"))
+    whole, edges = candidates(docs, symbols, width, levels(width)[:-1] or [width])
+    return whole.unionAll(repeated_windows(docs, edges, width))
 
 
 def removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:

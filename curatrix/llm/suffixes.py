@@ -160,7 +160,7 @@ def from_hashes(strings: DataFrame, width: int) -> DataFrame:
 
 def spans(docs: DataFrame, width: int = WIDTH, base: int = BASE) -> DataFrame:
     """(doc_id, th, p, n): first window and number of windows that repeat."""
-    whole, edges = candidates(docs, symbols, width, base)
+    whole, edges = candidates(docs, symbols, width, [base])
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("s", pa.binary())])
 
     def strings_of(batches):
