@@ -9,8 +9,9 @@ named anew by the next, longer one, until no base is left. Then stretches that a
 counted as one string: all their windows repeat. Only stretches whose name is shared but whose symbols are
 not remain: *edges*, where a repeat starts or ends, which the operators compare window by window.
 
-Nothing is capped: names, stretches and edges cover all texts. A name that very many texts share is
-counted with partial aggregation and joined like any skewed key.
+Nothing is capped: names, stretches and edges cover all texts. A name that a batch of texts has twice is
+known to repeat, so its rows are not joined by it at all: a hot name brings one row of each batch to the
+task that counts it, not one of each text.
 """
 
 from __future__ import annotations
@@ -80,8 +81,21 @@ def stretches(v: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndar
     return name, first, count, own > 1
 
 
-STRETCH = "h long, sh long, doc_id long, th long, p int, n int, own boolean"
-_STRETCH = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("own", pa.bool_())])
+def in_batch(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a batch how many rows have its key if it is the first of them, else 0; and whether there are others."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys]) if len(order) > 1 else False
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(order)))
+    lead, others = np.zeros(len(order), np.int32), np.empty(len(order), bool)
+    lead[order[start]] = count
+    others[order] = np.repeat(count > 1, count)
+    return lead, others
+
+
+STRETCH = "h long, sh long, doc_id long, th long, p int, n int, own boolean, m int, multi boolean, twin boolean"
+_STRETCH = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("own", pa.bool_()), ("m", pa.int32()), ("multi", pa.bool_()), ("twin", pa.bool_())])
 
 
 def joined(spans: list[dict]) -> list[tuple[int, int]]:
@@ -99,6 +113,7 @@ def found(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataF
     """Stretches of (doc_id, th, text), or of the windows in ``spans`` where there is such a column.
 
     symbols: the UTF-8 text to an array of one uint64 per symbol. whole: with a hash of each stretch's symbols.
+    m: the batch's rows of a name, at the first of them; multi: the name repeats there; twin: so does the whole stretch.
     """
     some = "spans" in rows.columns
 
@@ -124,7 +139,10 @@ def found(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataF
                     cols[3].append((th, len(name)))
             if cols[0]:
                 key = [pa.array(np.repeat(np.array([0 if x is None else x for x, _ in c], np.int64), [n for _, n in c]), mask=np.repeat([x is None for x, _ in c], [n for _, n in c])) for c in cols[2:4]]
-                yield record(_STRETCH, [pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), *key, pa.array(np.concatenate(cols[4]).astype(np.int32)), pa.array(np.concatenate(cols[5]).astype(np.int32)), pa.array(np.concatenate(cols[6]))])
+                h, sh, p, n, own = (np.concatenate(cols[i]) for i in (0, 1, 4, 5, 6))
+                m, multi = in_batch(h)
+                twin = in_batch(h, sh)[1] if whole else np.zeros(len(h), bool)
+                yield record(_STRETCH, [pa.array(h), pa.array(sh), *key, pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, (own, m, multi | own, twin))])
 
     return rows.mapInArrow(run, STRETCH)
 
@@ -132,19 +150,20 @@ def found(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataF
 def survivors(rows: DataFrame, symbols, width: int, base: int, whole: bool) -> DataFrame:
     """The stretches whose name occurs again, stored."""
     every = written(found(rows, symbols, width, base, whole), "named")
-    shared = every.groupBy("h").agg(F.count("*").alias("times"), F.max("own").alias("inside")).filter("times > 1 or inside").select("h", "times")
-    out = written(every.join(shared, "h").select(*(c for c in every.columns if whole or c in ("doc_id", "th", "p", "n")), *(["times"] if whole else [])), "stretches")
+    keep = ["doc_id", "th", "p", "n", *(["h", "sh", "own", "twin"] if whole else [])]
+    shared = every.filter("m > 0").groupBy("h").agg(F.sum("m").alias("times"), F.max("own").alias("inside")).filter("times > 1 or inside").select("h")
+    out = written(every.filter("multi").select(*keep).unionAll(every.filter("not multi").join(shared, "h").select(*keep)), "stretches")
     discard(every)
     return out
 
 
-def candidates(docs: DataFrame, symbols, width: int, bases: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(whole, edges), both in the shared folder.
+def candidates(docs: DataFrame, symbols, width: int, bases: list[int], within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(whole, edges), both in the shared folder; within: spans (doc_id, th, p, n) beyond which nothing is looked at.
 
     whole: (doc_id, th, p, n), stretches whose windows all repeat. edges: (h, doc_id, th, p, n, known),
     stretches to compare by window; known: its windows repeat in any case, but others may equal them.
     """
-    rows, before = with_key(docs), None
+    rows, before = with_key(docs) if within is None else with_lists(docs, within, "inner", "p", "n"), None
     for base in bases[:-1]:
         left = survivors(rows, symbols, width, base, False)
         rows = with_lists(docs, left, "inner", "p", "n")
@@ -154,10 +173,12 @@ def candidates(docs: DataFrame, symbols, width: int, bases: list[int]) -> tuple[
     some = survivors(rows, symbols, width, bases[-1], True)
     if before is not None:
         discard(before)
-    kinds = some.groupBy("h", "sh").agg(F.count("*").alias("same"), F.max("times").alias("times"), F.min(F.struct("doc_id", "th", "p", "n", "own")).alias("one"))
+    kinds = some.groupBy("h", "sh").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "th", "p", "n", "own")).alias("one"))
     kinds = written(kinds, "kinds")
-    whole = some.join(kinds.filter("same > 1").select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "p", "n")
-    edges = kinds.filter("(same = 1 and (times > 1 or one.own)) or (same > 1 and times > same)")
+    span = ["doc_id", "th", "p", "n"]
+    whole = some.filter("twin").select(*span).unionAll(some.filter("not twin").join(kinds.filter("same > 1").select("h", "sh"), ["h", "sh"]).select(*span))
+    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("one.own").alias("inside")).filter("kinds > 1 or inside").select("h", "kinds")
+    edges = kinds.join(several, "h").filter("kinds > 1 or (same = 1 and one.own)")
     return whole, edges.select("h", "one.doc_id", "one.th", "one.p", "one.n", (F.col("same") > 1).alias("known"))
 
 

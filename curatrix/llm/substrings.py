@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, record, texts, written
-from .repeats import candidates, covered, mix, rolling, with_lists
+from .repeats import candidates, covered, in_batch, mix, rolling, with_lists
 
 WIDTH = 35
 
@@ -43,11 +43,11 @@ def levels(width: int) -> list[int]:
 
 def repeated_windows(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, p, n = 1): windows of ``edges`` whose words occur again."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32()), ("multi", pa.bool_())])
 
     def run(batches):
         for b in cut(batches):
-            cols = [[] for _ in schema]
+            cols = [[] for _ in range(6)]
             spans = b.column(3).to_pylist()
             for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), spans, strict=True):
                 v = symbols(text)
@@ -59,12 +59,15 @@ def repeated_windows(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame
                 cols[4].append(rolling(v, width)[at].view(np.int64))
                 cols[5].append(rolling(mix(v + np.uint64(0x5851F42D4C957F2D)), width)[at].view(np.int64))
             if cols[0]:
-                yield record(schema, [cols[0], cols[1], *(pa.array(np.concatenate(c)) for c in cols[2:])])
+                p, known, a, h = (np.concatenate(c) for c in cols[2:])
+                yield record(schema, [cols[0], cols[1], *map(pa.array, (p, known, a, h, *in_batch(a, h)))])
 
-    rows = with_lists(docs, edges, "inner", "p", "n", "known").mapInArrow(run, "doc_id long, th long, p int, known boolean, a long, b long")
+    rows = with_lists(docs, edges, "inner", "p", "n", "known").mapInArrow(run, "doc_id long, th long, p int, known boolean, a long, b long, m int, multi boolean")
     rows = written(rows, "windows")
-    again = rows.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
-    out = written(rows.filter("not known").join(again, ["a", "b"]).select("doc_id", "th", "p", F.lit(1).alias("n")), "repeated")
+    again = rows.filter("m > 0").groupBy("a", "b").agg(F.sum("m").alias("times")).filter("times > 1").select("a", "b")
+    open_ = rows.filter("not known")
+    open_ = open_.filter("multi").select("doc_id", "th", "p").unionAll(open_.filter("not multi").join(again, ["a", "b"]).select("doc_id", "th", "p"))
+    out = written(open_.withColumn("n", F.lit(1)), "repeated")
     discard(rows)
     return out
 

@@ -6,7 +6,8 @@ windows of ``width`` bytes meet in one bucket. Each task packs buckets into text
 and builds their suffix array: it sorts the triples of sampled positions (not divisible by 3), names
 them, recurses on the names where these are not yet unique, sorts the other suffixes by first symbol
 and sampled rank, merges both, and compares neighbours' first ``width`` bytes. A name whose strings
-alone exceed PACK is not gathered: its windows are counted as 128-bit hashes in a shuffle instead.
+alone exceed PACK is dealt out anew by names of runs twice as long, its equal strings again counted as one,
+until the strings of each name fit a task: at runs of ``width`` bytes a name has one string left.
 
 Defined cases: null and empty texts have no bytes; texts shorter than a window lose none; matches never
 cross documents, as strings never do; repeated rows equal each other.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, record, texts, written
-from .repeats import candidates, covered, mix, rolling, with_lists
+from .repeats import candidates, covered, mix, with_lists
 
 WIDTH, BASE = 200, 48
 #: Bytes whose suffixes one task sorts at once; positions and ranks must fit 21 bits.
@@ -142,37 +143,26 @@ def from_buckets(strings: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, th long, p int, n int")
 
 
-def from_hashes(strings: DataFrame, width: int) -> DataFrame:
-    """The same for names with too many strings: windows are counted by their hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for batch in cut(batches):
-            for _, doc_id, th, p, known, s in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                v = symbols(s)
-                a, b = rolling(v, width).view(np.int64), rolling(mix(v + np.uint64(0x5851F42D4C957F2D)), width).view(np.int64)
-                yield record(schema, [[doc_id] * len(a), [th] * len(a), pa.array(np.arange(p, p + len(a), dtype=np.int32)), [known] * len(a), pa.array(a), pa.array(b)])
-
-    rows = written(strings.mapInArrow(run, "doc_id long, th long, p int, known boolean, a long, b long"), "windows")
-    again = rows.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
-    return rows.join(again, ["a", "b"]).filter("not known").select("doc_id", "th", "p", F.lit(1).alias("n"))
-
-
 def spans(docs: DataFrame, width: int = WIDTH, base: int = BASE) -> DataFrame:
     """(doc_id, th, p, n): first window and number of windows that repeat."""
-    whole, edges = candidates(docs, symbols, width, [base])
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("known", pa.bool_()), ("s", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("s", pa.binary())])
 
     def strings_of(batches):
         for b in cut(batches):
-            out = [(e["h"], doc_id, th, e["p"], e["known"], text[e["p"] : e["p"] + e["n"] + width - 1]) for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist(), strict=True) for e in own]
-            yield record(schema, list(zip(*out, strict=True)) or [[]] * 6)
-
-    strings = written(with_lists(docs, edges, "inner", "h", "p", "n", "known").mapInArrow(strings_of, "h long, doc_id long, th long, p int, known boolean, s binary"), "edge-strings")
-    large = written(strings.groupBy("h").agg(F.sum(F.octet_length("s") + 1).alias("size")).filter(F.col("size") > PACK).select("h"), "large-names")
-    small = from_buckets(strings.join(large, "h", "left_anti"), width)
-    out = whole.unionAll(written(small, "repeated"))
-    return out if large.isEmpty() else out.unionAll(written(from_hashes(strings.join(large, "h"), width), "repeated"))
+            out = [(e["h"], doc_id, th, e["p"], e["n"], e["known"], text[e["p"] : e["p"] + e["n"] + width - 1]) for doc_id, th, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), b.column(3).to_pylist(), strict=True) for e in own]
+            yield record(schema, list(zip(*out, strict=True)) or [[]] * 7)
+
+    out, within = None, None
+    while True:
+        whole, edges = candidates(docs, symbols, width, [base], within)
+        strings = written(with_lists(docs, edges, "inner", "h", "p", "n", "known").mapInArrow(strings_of, "h long, doc_id long, th long, p int, n int, known boolean, s binary"), "edge-strings")
+        large = strings.groupBy("h").agg(F.sum(F.octet_length("s") + 1).alias("size")).filter(F.col("size") > PACK).select("h")
+        large = written(large if base < width else large.limit(0), "large-names")
+        found = whole.unionAll(written(from_buckets(strings.join(large, "h", "left_anti").drop("n"), width), "repeated"))
+        out = found if out is None else out.unionAll(found)
+        if large.isEmpty():
+            return out
+        base, within = min(2 * base, width), strings.join(large, "h", "left_semi").select("doc_id", "th", "p", "n")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, base: int = BASE) -> DataFrame:

@@ -101,8 +101,16 @@ def test_suffixes_odd(odd, empty, monkeypatch):
     want = brute_bytes([t for _, t in ODD], 200)
     got = lambda: sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.removed(odd).collect())
     assert got() == want
-    monkeypatch.setattr(suffixes, "PACK", 300)  # names with many strings go by hashes
+    monkeypatch.setattr(suffixes, "PACK", 300)  # names with many strings are dealt out by longer runs
     assert got() == want
+    rng = np.random.default_rng(7)  # one common passage among many others, and one text of a few symbols
+    hot = "".join(rng.choice(list("abcdef ")) for _ in range(260))
+    rows = [(i, "".join(rng.choice(list("xyz "), int(rng.integers(0, 90)))) + hot[int(rng.integers(0, 30)) :] + "".join(rng.choice(list("uvw"), 40))) for i in range(40)]
+    rows += [(90, "ab" * 700), (91, "".join(rng.choice(list("ab"), 3000)))]
+    df = odd.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    for pack in (300, 3000, 1 << 20):
+        monkeypatch.setattr(suffixes, "PACK", pack)
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.removed(df).collect()) == brute_bytes([t for _, t in rows], 200)
     assert suffixes.removed(empty).count() == 0
 
 
