@@ -10,8 +10,9 @@ Payloads that are equal are stored once: the record with the least page_id is th
 are revisits that refer to it. Payloads are told apart by length and SHA-1.
 
 Defined cases: null html is an empty payload; null urls are written as an empty target; a null page_id is
-never less than another, and is a response only where no other page has that payload; rows that repeat
-the least page_id are all responses; extra columns are not read.
+never less than another, and is a response only where no other page has that payload; rows that repeat a
+page_id are numbered, so each has a record identifier of its own, and of those that repeat the least
+page_id of a payload one is the response; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,25 +38,26 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, copy: int = 0) -> str:
+    """copy: 0 where no other row has that page_id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' + (f'#{copy}' if copy else ''))}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, copy: int = 0, refers_copy: int = 0) -> bytes:
     """One WARC record; a revisit has no block, and names the length and digest of what it stands for."""
     sha = digest(payload)
     block = b"" if revisit else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n%s" % (len(payload), payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, copy)}", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url or ""), f"WARC-Payload-Digest: sha1:{sha}",
         f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_copy)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -101,8 +103,8 @@ class Writer:
         self.out, self.open, self.sizes, self.index = io.BytesIO(), bytearray(), [], []
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
 
-    def add(self, name: str, raw: bytes) -> None:
-        self.index.append((name, len(self.sizes), len(self.open), len(raw)))
+    def add(self, name: str, page_id: int | None, raw: bytes) -> None:
+        self.index.append((name, page_id, len(self.sizes), len(self.open), len(raw)))
         self.open += raw
         if len(self.open) >= FRAME_BYTES:
             self._close_frame()
@@ -138,21 +140,27 @@ class Reader:
 
 
 def with_references(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, first (the least page_id with an equal payload)."""
+    """page_id, url, html, copy, first (page_id and copy of the response of an equal payload; null: it is one itself)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
+    again = p.groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("again_id"))
+    if again.isEmpty():
+        p = p.withColumn("copy", F.lit(0).cast("long"))
+    else:  # stored, so that a row keeps its number when a task runs anew
+        repeats = written(p.join(again, p.page_id.eqNullSafe(again.again_id), "left_semi").withColumn("copy", 1 + F.monotonically_increasing_id()), "repeated-pages")
+        p = p.join(again, p.page_id.eqNullSafe(again.again_id), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionAll(repeats)
+    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copy")
     # one row for each payload that several pages have, so hot payloads are counted before they are shuffled
-    shared = p.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    own = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return p.join(shared, ["sha", "size"], "left").select("page_id", "url", "html", own.alias("refers_to"))
+    shared = p.groupBy("sha", "size").agg(F.min(key).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    return p.join(shared, ["sha", "size"], "left").select("page_id", "url", "html", "copy", F.when(F.col("first") != key, F.col("first")).alias("first"))
 
 
-ARCHIVE = "bundle string, data binary, index array<struct<record_id string, frame int, offset long, length long>>"
+ARCHIVE = "bundle string, data binary, index array<struct<record_id string, page_id long, frame int, offset long, length long>>"
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Bundles with a record for every row of ``pages`` (page_id, url, html), stored in the shared folder."""
-    entry = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
+    entry = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
     schema = pa.schema([("bundle", pa.string()), ("data", pa.binary()), ("index", entry)])
 
     def run(batches):
@@ -160,11 +168,12 @@ def archived(pages: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             data, index = w.close()
-            return record(schema, [[uuid.uuid4().hex], [data], [[dict(zip(("record_id", "frame", "offset", "length"), x, strict=True)) for x in index]]])
+            return record(schema, [[uuid.uuid4().hex], [data], [[dict(zip(("record_id", "page_id", "frame", "offset", "length"), x, strict=True)) for x in index]]])
 
         for b in cut(batches):
-            for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                w.add(record_id(page_id), render(page_id, url, html.encode(), refers_to, refers_to is not None))
+            for page_id, url, html, copy, first in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                to, to_copy = (first["page_id"], first["copy"]) if first else (None, 0)
+                w.add(record_id(page_id, copy), page_id, render(page_id, url, html.encode(), to, first is not None, copy, to_copy))
                 if w.full():
                     yield done()
                     w = Writer()
@@ -182,7 +191,7 @@ def _rows(pick=None):
             for data, index in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 reader, out, size = Reader(data), [], 0
                 for e in index:
-                    if pick is not None and e["record_id"] not in pick:
+                    if pick is not None and e["page_id"] not in pick:
                         continue
                     h, payload = parse(reader.get(e["frame"], e["offset"], e["length"]))
                     number = lambda k: int(h[k]) if h.get(k) else None
@@ -207,10 +216,9 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def fetch(archives: DataFrame, page_ids: list[int]) -> DataFrame:
-    """The records of some pages: only their frames are decompressed."""
-    names = {record_id(i) for i in page_ids}
-    hit = archives.filter(F.exists("index", lambda e: e["record_id"].isin(*names)))
-    return hit.select("bundle", "data", "index").mapInArrow(_rows(names), READ)
+    """All records of some pages: only bundles whose index names them are read, and only their frames decompressed."""
+    hit = archives.filter(F.exists("index", lambda e: e["page_id"].isin(*page_ids)))
+    return hit.select("bundle", "data", "index").mapInArrow(_rows(set(page_ids)), READ)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:

@@ -217,8 +217,11 @@ def test_warc_odd(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 700)
     archives = warc.archived(pages)
     got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(archives).collect()}
-    assert got == {(1, 6, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (4, 4, "response", None), (5, 4, "revisit", 4), (None, 4, "revisit", 4), (None, 5, "response", None), (9, 1000000, "response", None)}
+    assert got == {(1, 6, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (4, 4, "response", None), (4, 4, "revisit", 4), (5, 4, "revisit", 4), (None, 4, "revisit", 4), (None, 5, "response", None), (9, 1000000, "response", None)}
     assert [r["payload"] for r in warc.fetch(archives, [1]).collect()] == [bytearray(b"a\r\n\r\nb")]
+    named = [r["record_id"] for r in warc.read(archives).collect()]
+    assert len(named) == len(set(named)) == len(rows) and sorted(e["record_id"] for r in archives.collect() for e in r["index"]) == sorted(named)
+    assert sorted(r["record_type"] for r in warc.fetch(archives, [4]).collect()) == ["response", "revisit"]
     import zstandard
 
     for path in warc.export(archives, str(tmp_path)):
