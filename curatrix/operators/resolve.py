@@ -35,9 +35,16 @@ def missing(df: DataFrame, voter: str, key: str, agreed: DataFrame) -> DataFrame
     return pairs.join(df.select(voter, key).distinct(), [voter, key], "left_anti")
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined to ``b``, whose keys are unique, on keys that are equal or both null; columns of ``a``, then the others of ``b``."""
+    other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return a.join(other, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The most common value of each key; ties to the least value; whether it was a tie."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    top = counts.groupBy(*keys).agg(F.max_by(F.struct(F.col(value), "n"), F.struct("n")).alias("any"), F.max("n").alias("n"))
-    tops = counts.join(top.select(*keys, "n"), [*keys, "n"]).groupBy(*keys, "n").agg(F.min(value).alias(value), F.count("*").alias("ties"))
+    """The most common value of each key; ties to the least value; whether it was a tie. Null keys are keys, null values no votes."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    top = counts.groupBy(*keys).agg(F.max("n").alias("top"))
+    tops = same_keys(counts, top, keys).filter("n = top").groupBy(*keys, "n").agg(F.min(value).alias(value), F.count("*").alias("ties"))
     return tops.select(*keys, value, "n", (F.col("ties") > 1).alias("tie"))

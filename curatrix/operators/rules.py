@@ -1,4 +1,8 @@
-"""Data-quality rules: each gives findings (level, code, path, message)."""
+"""Data-quality rules: each gives findings (level, code, path, message).
+
+A null is a finding of :func:`not_null` alone: forms, bounds, lists and references say nothing of it.
+Repeated rows give a finding each, repeated keys one; an empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ def unique(df, keys, code, level="ERROR"):
 
 
 def foreign_key(df, column, other, other_column, code, path):
-    lost = df.join(other.select(F.col(other_column).alias(column)).distinct(), column, "left_anti")
+    lost = df.filter(F.col(column).isNotNull()).join(other.select(F.col(other_column).alias(column)).distinct(), column, "left_anti")
     return finding(lost, F.lit(True), code, path, f"{column} refers to nothing")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, entities, streams
+from . import documents, entities, files, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["documents", "entities", "streams"]
+__all__ = ["documents", "entities", "files", "streams"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,7 @@ def facts(t):
     return both.agg(F.count("*").alias("documents"), F.countDistinct("lang").alias("langs"), F.count("quality").alias("reviewed"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("queued"))
 
 
-_MARKED, _PLAIN = tx.MARKED, tx.PLAIN
-_SLUG = f"trim(regexp_replace(replace(replace(translate(lower({{}}), '{_MARKED}', '{_PLAIN}'), '''', ''), '’', ''), '[^a-z0-9]+', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(replace(replace(strip_accents(lower({})), '''', ''), '’', ''), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
 @query(f"SELECT doc_id, {_SLUG.format('source || text')} AS slug FROM documents")
@@ -178,24 +177,24 @@ def neardup_suppress(t):
 
 @query("""
 SELECT doc_id, source, text, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL
-SELECT doc_id, source, text, n_chars FROM documents d WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.doc_id = d.doc_id)
+SELECT doc_id, source, text, n_chars FROM documents d WHERE doc_id % 2 <> 0 OR doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.doc_id = d.doc_id)
 """)
 def additive_union(t):
-    """SET1: two snapshots of documents, the first one wins. Parity makes the snapshots."""
+    """SET1: two snapshots of documents, the first one wins. The first has the even ids, the second the odd ones and every third."""
     d = t.documents.select("doc_id", "source", "text", "n_chars")
-    return merge.additive_union(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0"), ["doc_id"])
+    return merge.additive_union(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 <> 0 or doc_id % 3 = 0"), ["doc_id"])
 
 
 @query("""
 WITH o AS (SELECT d.doc_id, n_chars, quality = 1 AS reviewed FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 2 = 0),
-f AS (SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0)
+f AS (SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 3 = 0)
 SELECT coalesce(o.doc_id, f.doc_id) AS doc_id, CASE WHEN coalesce(reviewed, FALSE) THEN o.n_chars ELSE coalesce(f.n_chars, o.n_chars) END AS n_chars,
        CASE WHEN o.doc_id IS NULL THEN 'new' WHEN f.doc_id IS NULL THEN 'gone' ELSE 'both' END AS side FROM o FULL JOIN f ON o.doc_id = f.doc_id
 """)
 def never_shrink(t):
     """SET2, SET3: fresh values win except over reviewed rows, and no key is lost."""
     old = t.documents.join(t.labels, "doc_id", "left").filter("doc_id % 2 = 0").select("doc_id", "n_chars", (F.col("quality") == 1).alias("reviewed"))
-    return merge.never_shrunk(old, t.documents.filter("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars")), "doc_id", ["n_chars"], "reviewed")
+    return merge.never_shrunk(old, t.documents.filter("doc_id % 2 <> 0 or doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars")), "doc_id", ["n_chars"], "reviewed")
 
 
 @query(r"""

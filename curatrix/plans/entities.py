@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import builds, match, merge, resolve, rules, templates
-from ..operators.storage import cut
+from ..operators import builds, graph, match, merge, resolve, rules, templates
 from .documents import _SLUG
 from .registry import query
 
@@ -29,7 +28,7 @@ def duplicate_flag_cap(t):
     """AGG11, FLT1: repeated names of a brand have their confidence capped."""
     n = t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
     own = F.col("p_size") / 50.0
-    return t.part.join(n, ["p_brand", "p_name"]).select("p_partkey", (F.col("n") > 1).alias("duplicate"), F.when(F.col("n") > 1, F.least(F.lit(0.3), own)).otherwise(own).alias("confidence"))
+    return resolve.same_keys(t.part, n, ["p_brand", "p_name"]).select("p_partkey", (F.col("n") > 1).alias("duplicate"), F.when(F.col("n") > 1, F.least(F.lit(0.3), own)).otherwise(own).alias("confidence"))
 
 
 @query("""
@@ -81,7 +80,7 @@ def unique_ids(t):
     same = s.groupBy("slug").agg(F.count("*").alias("same"))
     nth = F.row_number().over(Window.partitionBy("slug", "p_brand").orderBy("p_partkey"))
     own = F.concat_ws("-", "slug", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.when(F.col("nth") > 1, F.col("nth").cast("string")))
-    return s.withColumn("nth", nth).join(same, "slug").select("p_partkey", F.when(F.col("same") == 1, F.col("slug")).otherwise(own).alias("id"))
+    return resolve.same_keys(s.withColumn("nth", nth), same, ["slug"]).select("p_partkey", F.when(F.col("same") == 1, F.col("slug")).otherwise(own).alias("id"))
 
 
 @query("""
@@ -130,9 +129,13 @@ k AS (SELECT p_partkey, CASE WHEN n1 <> n2 THEN 'reworded' WHEN s1 <> s2 AND r1
 
 
 def _changes(t):
+    """Both versions of every part as columns, compared field by field."""
     k = F.col("p_partkey")
-    renamed, resized, repriced = k % 5 == 0, k % 3 == 0, (k % 4 == 0) & (F.col("p_retailprice") != 0)
-    return t.part.select("p_partkey", builds.first_reason([("reworded", renamed), ("reworked", resized & repriced), ("resized", resized), ("repriced", repriced), ("unchanged", F.lit(True))]).alias("status"))
+    old = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice")
+    new = t.part.select(k, F.when(k % 5 == 0, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")).alias("p_name"), F.when(k % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"), F.when(k % 4 == 0, F.col("p_retailprice") * 2).otherwise(F.col("p_retailprice")).alias("p_retailprice"))
+    both = match.two_versions(old, new, ["p_partkey"], ["p_name", "p_size", "p_retailprice"])
+    renamed, resized, repriced = (~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in ("p_name", "p_size", "p_retailprice"))
+    return both.select("p_partkey", builds.first_reason([("reworded", renamed), ("reworked", resized & repriced), ("resized", resized), ("repriced", repriced), ("unchanged", F.lit(True))]).alias("status"))
 
 
 @query(_PARTS + "SELECT * FROM k")
@@ -249,14 +252,10 @@ w AS (SELECT a AS x, b AS y, 1 AS steps FROM e WHERE b IS NOT NULL UNION SELECT
 SELECT DISTINCT x AS n_nationkey FROM w WHERE x = y
 """)
 def cycle_check(t):
-    """V8: nations on a cycle of a successor relation. Reachability doubles its reach each round."""
+    """V8, VZ: nations on a cycle of a successor relation."""
     k = F.col("n_nationkey")
     edges = t.nation.select(k.alias("a"), F.when(k % 5 == 4, k - 4).when(k < 15, k + 1).alias("b")).filter("b is not null")
-    reach = edges
-    for _ in range(5):  # 2^5 steps are more than there are nations
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        reach = cut(reach.unionAll(more).distinct())
-    return reach.filter("a = b").select(F.col("a").alias("n_nationkey"))
+    return graph.on_cycles(edges).select(F.col("node").alias("n_nationkey"))
 
 
 _CODE = """WITH d AS (SELECT l_orderkey, l_linenumber % 3 AS segment, l_linenumber AS position, CAST(max(l_quantity) AS BIGINT) % 10 AS digit FROM lineitem GROUP BY ALL),
@@ -318,8 +317,8 @@ def sanitize_builds(t):
     return builds.sanitised(t.lineitem, "l_orderkey", F.col("l_linenumber") - 1, "l_quantity", 20)
 
 
-@query("""
-SELECT p_partkey, 'Size ' || p_size || ' costs ' || CASE WHEN p_retailprice = round(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', round(p_retailprice, 2)), '0+$', '') END || ' {2}' AS text,
+@query(r"""
+SELECT p_partkey, 'Size ' || p_size || ' costs ' || CASE WHEN p_retailprice = round(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', round(p_retailprice, 2)), '\.?0+$', '') END || ' {2}' AS text,
        array_to_string(list_transform([1, 2, 3], lambda k: CAST(p_size * k AS VARCHAR)), '/') AS series FROM part
 """)
 def template_render(t):

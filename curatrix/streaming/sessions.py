@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.storage import folder
+
 
 def session_stream(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """user_id, event_type, t0, t1, n, best of sessions; append mode gives those that the watermark closes."""
@@ -53,9 +55,21 @@ def run_stream(events: DataFrame, gap_seconds: int = 6 * 3600, late: str = "1 ho
 
 def closed_sessions(spark: SparkSession, path: str, schema) -> DataFrame:
     """What :func:`session_stream` emits for the files that are there now."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/curatrix"
-    out = f"{named}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    out = f"{folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
     # a pattern, so that the source may be one file or a folder of files
     stream = session_stream(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"))
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def all_sessions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The sessions of a bounded input: those that the stream closed, and those still open at its end.
+
+    Open ones are made of the events after the last closed session of their user and type, so only these
+    are read into sessions again.
+    """
+    closed = closed_sessions(spark, path, schema)
+    last = closed.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("k")).agg(F.max("t1").alias("until"))
+    events = spark.read.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = events.join(last, F.col("user_id").eqNullSafe(F.col("u")) & F.col("event_type").eqNullSafe(F.col("k")), "left").filter("until is null or ts >= until")
+    return closed.unionByName(session_stream(rest.select(*events.columns)))
