@@ -353,7 +353,7 @@ def camel_words(name: Column, prefixes: list[str]) -> tuple[Column, Column]:
 
 def rewritten_note(note: Column, own: list[str], clauses: list[Column]) -> Column:
     """STR40: a note's clauses that hold none of the markers ``own``, then ``clauses`` (null: none); null where nothing is left."""
-    keep = F.filter(F.transform(F.split(F.coalesce(note, F.lit("")), ";"), F.trim), lambda c: (c != "") & ~F.lower(c).rlike("|".join(re.escape(m) for m in own)))
+    keep = F.filter(F.transform(F.split(F.coalesce(note, F.lit("")), ";"), lambda c: F.trim(c)), lambda c: (c != "") & ~F.lower(c).rlike("|".join(re.escape(m) for m in own)))
     every = F.concat(keep, F.filter(F.array(*clauses), lambda c: c.isNotNull() & (c != "")))
     return F.when(F.size(every) > 0, F.array_join(every, "; "))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, entities, files, streams
+from . import documents, entities, files, points, scalars, streams, views
 from .registry import QUERIES, SQL
 
-__all__ = ["documents", "entities", "files", "streams"]
+__all__ = ["documents", "entities", "files", "points", "scalars", "streams", "views"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
