@@ -139,7 +139,7 @@ def test_codec(spark):
 def test_hamming_suppression(spark):
     codes = [(1, 0), (2, 0), (3, 0b111), (4, -1), (5, (1 << 63) - 1), (6, 0b1111111)]
     df = spark.createDataFrame(codes, "id long, code long")
-    assert sorted(r["id"] for r in match.hamming_suppressed(df, "id", "code", 6).collect()) == [1, 4]
+    assert sorted(r["id"] for r in match.hamming_suppressed(df, "id", "code", 6).collect()) == [1, 4, 6]  # 3 is gone, so it suppresses nothing
 
 
 def test_sources(spark, tmp_path):
@@ -165,12 +165,184 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(sinks.RefusedWrite):
         sinks.write_not_fewer(spark.range(4), path, ["id"])
     sinks.write_not_fewer(spark.range(6), path, ["id"])
-    assert spark.read.parquet(path).count() == 6
+    assert sinks.current(spark, path).count() == 6 and len(sinks.tidy(spark, path)) == 1
     bad = lambda d: d.filter("id > 6").selectExpr("'ERROR' AS level", "'X' AS code", "string(id) AS path", "'' AS message")
-    assert sinks.write_audit_publish(spark.range(9), path, bad).count() == 2 and spark.read.parquet(path).count() == 6
-    assert sinks.write_audit_publish(spark.range(7), path, bad).count() == 0 and spark.read.parquet(path).count() == 7
-    text = sinks.canonical({"b": [1, 2], "a": None, "id": "x", "c": [{"z": 1, "a": []}]}, ["id"])
-    assert json.loads(text) == {"id": "x", "b": [1, 2], "c": [{"z": 1, "a": []}]} and text.startswith('{\n  "id": "x",\n  "b": [1, 2]')
+    assert sinks.write_audit_publish(spark.range(9), path, bad).count() == 2 and sinks.current(spark, path).count() == 6
+    assert sinks.write_audit_publish(spark.range(7), path, bad).count() == 0 and sinks.current(spark, path).count() == 7
+    assert not sinks.audited(spark.range(9), bad)[1] and sinks.current(spark, path).count() == 7
+    assert sinks.publish_all({"a": spark.range(3), "b": spark.range(2)}, str(tmp_path / "all")) == {"a": "written", "b": "written"}
+    assert sinks.publish_all({"a": spark.range(3), "c": spark.range(2)}, str(tmp_path / "all")) == {"a": "unchanged", "c": "written", "b": "deleted"}
+    assert sinks.stale({"a": spark.range(4), "c": spark.range(2), "d": spark.range(1)}, str(tmp_path / "all")) == ["a", "d"]
+    (tmp_path / "x.png").write_text("")
+    assert sinks.prune(spark, [str(tmp_path / "x.png")]) and (tmp_path / "x.png").exists()
+    assert sinks.prune(spark, [str(tmp_path / "x.png")], dry_run=False) and not (tmp_path / "x.png").exists()
+
+
+def test_canonical_bytes():
+    doc = {"trees": [{"talents": [{"col": 1, "row": 0, "id": "b", "name": "B"}, {"row": 0, "id": "a", "col": 0, "ranks": [[1, "s"], [2.5, "s"]], "source": {"note": "é", "kind": "manual"}}], "id": "t"}], "class": "mage", "odd": None, "notes": [], "pages": [{"id": "p"}], "rules": {}}
+    assert sinks.document_text(doc, "class") == """{
+  "class": "mage",
+  "rules": {},
+  "pages": [
+    {
+      "id": "p"
+    }
+  ],
+  "trees": [
+    {
+      "id": "t",
+      "talents": [
+        {
+          "id": "a",
+          "row": 0,
+          "col": 0,
+          "ranks": [[1, "s"], [2.5, "s"]],
+          "source": {
+            "kind": "manual",
+            "note": "é"
+          }
+        },
+        {
+          "id": "b",
+          "name": "B",
+          "row": 0,
+          "col": 1
+        }
+      ]
+    }
+  ],
+  "notes": [],
+  "odd": null
+}
+"""
+    long = {"ranks": [["x" * 60, 1], ["y" * 60, 2]], "tags": ["z" * 101]}
+    assert sinks.document_text(long) == '{\n  "ranks": [\n    ["' + "x" * 60 + '", 1],\n    ["' + "y" * 60 + '", 2]\n  ],\n  "tags": [\n    "' + "z" * 101 + '"\n  ]\n}\n'
+    assert sinks.override_text([{"at": "now", "talent": "a"}, {"talent": "b"}]) == '{\n  "talent": "a",\n  "at": "now"\n},\n{\n  "talent": "b"\n}'
+    assert sinks.document_text({"spells": [{"id": "b", "tab": None}, {"id": "a", "tab": "fire"}]}, "spell").index('"a"') < sinks.document_text({"spells": [{"id": "b", "tab": None}, {"id": "a", "tab": "fire"}]}, "spell").index('"b"')
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "Talent.csv").write_text("ID,Name\n1,x\n2,y\n")
+    got, missing = readers.tables(spark, str(tmp_path), {"Talent": ["ID"]}, {"SpellRadius": ["ID", "Radius"]})
+    assert got["Talent"].count() == 2 and got["SpellRadius"].columns == ["ID", "Radius"] and got["SpellRadius"].count() == 0 and missing == ["SpellRadius"]
+    made = []
+    fetch = lambda name, path: (made.append(name), open(path, "w").write("ID\n7\n"))
+    rows = {r["file"]: r["rows"] for r in readers.landed(spark, str(tmp_path), ["Talent", "Spell"], fetch).collect()}
+    assert rows == {"Talent.csv": 2, "Spell.csv": 1} and made == ["Spell"]
+    now = readers.manifest(spark, str(tmp_path / "*.csv"))
+    before = spark.createDataFrame(now.collect(), now.schema)
+    assert before.count() == 2 and readers.stale(before, readers.manifest(spark, str(tmp_path / "*.csv"))).count() == 0
+    (tmp_path / "Spell.csv").write_text("ID\n8\n")
+    assert readers.stale(before, readers.manifest(spark, str(tmp_path / "*.csv"))).count() == 1
+    for n in (1, 3):
+        (tmp_path / f"v{n}.json").write_text(f'{{"version": {n}}}')
+    (tmp_path / "vx.json").write_text("{}")
+    assert sorted(r["version"] for r in readers.versions(spark, str(tmp_path / "v*.json")).collect()) == [1, 3]
+    assert readers.optional_json(spark, str(tmp_path / "none.json"), "a int").count() == 0
+    assert readers.windows(spark, None, [(1, 2, "mage", "")])[1] == "built in"
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    (tmp_path / "c.json").write_text('[{"name": "Two Words"}, {"id": "k", "name": "x"}]')
+    shape = StructType([StructField("id", StringType()), StructField("name", StringType())])
+    assert sorted(r["id"] for r in readers.named_candidates(spark, str(tmp_path / "c.json"), shape).collect()) == ["k", "two-words"]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), spark.createDataFrame([(2, "z"), (3, "w"), (3, "w")], "id int, v string")
+    assert sorted(map(tuple, readers.first_origin([a, b], "id").collect())) == [(1, "x"), (2, "y"), (3, "w"), (3, "w")]
+
+
+def test_shown_faults(spark):
+    from pyspark.sql import functions as F
+
+    from curatrix.functions import numeric as num
+    from curatrix.operators import resolve, rules
+
+    df = spark.createDataFrame([("Škoda Œuvre ő ﬁn ½", 1.999)], "s string, x double")
+    assert df.select(tx.slug(F.col("s"))).first()[0] == "skoda-uvre-o-fin-1-2"
+    assert [df.select(tx.number_text(F.lit(x))).first()[0] for x in (1.999, 0.001, 2.5, 3.0, -0.25)] == ["2", "0", "2.5", "3", "-0.25"]
+    assert df.select(tx.render(F.lit("{0} {1} {2} {x"), [F.lit("{1}"), F.lit("B"), F.lit(None).cast("string")])).first()[0] == "{1} B {2} {x"
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: i * 2.0).alias("v"))
+    assert many.select(num.progression(F.col("v")), num.shape(F.col("v"))).first() == ("proportional", "arithmetic")
+    votes = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), ("k", "x"), ("k", "y"), ("k", None)], "key string, v string")
+    assert sorted(map(str, map(tuple, resolve.majority(votes, ["key"], "v").collect()))) == ["('k', 'x', 1, True)", "(None, 'a', 2, False)"]
+    refs = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "id int, ref int")
+    assert [r["path"] for r in rules.foreign_key(refs, "ref", spark.createDataFrame([(5,)], "k int"), "k", "X", F.col("id")).collect()] == ["3"]
+
+
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_diff_is_a_longest_subsequence():
+    rng = random.Random(12)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        ops = tx.diff_runs(" ".join(a), " ".join(b))
+        assert [w for o, t in ops if o != "+" for w in t.split()] == a and [w for o, t in ops if o != "-" for w in t.split()] == b
+        assert sum(len(t.split()) for o, t in ops if o == "=") == lcs_length(a, b)
+    assert tx.diff_runs("a b", "a c") == [("=", "a"), ("-", "b"), ("+", "c")]
+
+
+def test_cycles(spark):
+    from curatrix.operators import graph
+
+    chain = [(i, i + 1) for i in range(40)] + [(40, 0)]  # one cycle of 41 steps
+    between = [(100, 101), (101, 100), (101, 102), (102, 103), (103, 104), (104, 103), (200, 200), (300, 301), (None, 5), (5, None)]
+    df = spark.createDataFrame([*chain, *between, *between], "a long, b long")
+    assert sorted(r["node"] for r in graph.on_cycles(df).collect()) == [*range(41), 100, 101, 103, 104, 200]
+    assert graph.on_cycles(df.limit(0)).count() == 0
+
+
+def test_first_come(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    kept = []
+    for x in range(40):
+        if not any((min(x, k), max(x, k)) in pairs for k in kept):
+            kept.append(x)
+    nodes = spark.range(40)
+    got = match.first_come(nodes, spark.createDataFrame(pairs, "a long, b long"), "id", [F.col("id")])
+    assert sorted(r["id"] for r in got.collect()) == kept
+
+
+def test_legal_builds(spark, sf_dir):
+    """Repaired builds break no rule and are as one step after the other leaves them; imports spend only what is allowed."""
+    from curatrix.operators import allocations as al
+    from curatrix.plans import points
+    from curatrix.plans.registry import Tables
+
+    t = Tables(spark, sf_dir)
+    rules, builds = points._rules(t), points._builds(t)
+    legal = al.sanitised(builds, rules).cache()
+    assert legal.count() > 0 and al.violations(legal, rules).isEmpty() and al.sanitised(legal, rules).exceptAll(legal).isEmpty()
+    whole = al.violations(builds, rules).select("build").distinct()
+    untouched = al.spent(builds).join(whole, "build", "left_anti")
+    assert untouched.select("build", "tree", "talent", "rank").exceptAll(legal.select("build", "tree", "talent", "rank")).isEmpty()
+    got, lost = al.imported(spark.createDataFrame([(1, "c", "name 0", 3), (1, "c", "Name 1", 9), (1, "c", "zz", 2), (1, "c", "Name 4", 2)], "build long, cls string, name string, rank int"), rules)
+    assert al.violations(got, rules).isEmpty() and {(r["talent"], r["rank"]) for r in got.collect()} == {("i0", 1), ("i1", 2), ("i4", 2)}
+    assert sorted((r["name"], r["kept"], r["reason"]) for r in lost.collect()) == [("Name 1", 2, "fewer-ranks"), ("name 0", 1, "fewer-ranks"), ("zz", 0, "not-there")]
+    one = spark.createDataFrame([(1, "c", "t0", "i0", 1), (1, "c", "t0", "i1", 1)], "build long, cls string, tree string, talent string, rank int")
+    moves = spark.createDataFrame([(1, "t0", "i1", 1), (1, "t0", "i0", 1), (1, "t0", "i19", 1)], "build long, tree string, talent string, step int")
+    assert {(r["talent"], r["rank"]) for r in al.changed(one, moves, rules).collect()} == {("i0", 1), ("i1", 2)}
+
+
+def test_alignment_and_stitching(spark):
+    from curatrix.operators import readings as rd
+
+    a = spark.createDataFrame([(1, 0, "x", 1), (1, 1, "y", 2), (1, 2, "x", 2)], "col int, pos int, id string, rank int")
+    b = spark.createDataFrame([(1, 0, "x", 2), (1, 1, "x", 1), (1, 2, "z", None)], "col int, pos int, id string, rank int")
+    got = {(r["a_pos"], r["b_pos"], r["id"], r["confidence"]) for r in rd.aligned(a, b, "col").collect()}
+    assert got == {(0, 1, "x", 1.0), (1, None, "y", 0.0), (2, 0, "x", 1.0), (None, 2, "z", 0.0)}
+    s = spark.createDataFrame([("g", 1, i, x) for i, x in enumerate("abc")] + [("g", 2, i, x) for i, x in enumerate("xbd")] + [("h", 1, 0, "p"), ("h", 1, 1, "q"), ("h", 2, 0, "q"), ("h", 2, 1, "p")], "grp string, seq int, pos int, id string")
+    order = {}
+    for r in rd.stitched(s, "grp").orderBy("grp", "pos").collect():
+        order.setdefault(r["grp"], []).append(r["id"])
+    assert order == {"g": list("axbcd"), "h": ["p", "q"]}
 
 
 def test_templates(spark):
@@ -209,9 +381,13 @@ def test_streams_agree_with_batch(spark, sf_dir):
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     batch = st.session_stream(events).collect()
-    closed = catalog.queries()["stream_sessions"](spark, sf_dir).collect()
+    closed = st.closed_sessions(spark, f"{sf_dir}/events.parquet", events.schema).collect()
     key = lambda r: (r["user_id"], r["event_type"], r["t0"], r["n"], r["best"])
-    assert 0 < len(closed) <= len(batch) and set(map(key, closed)) <= set(map(key, batch))
+    last = max(r["ts"] for r in events.collect())
+    done = [r for r in batch if (last - r["t1"]).total_seconds() > 3600]
+    assert set(map(key, closed)) == set(map(key, done)) and 0 < len(closed) < len(batch)
+    every = st.all_sessions(spark, f"{sf_dir}/events.parquet", events.schema).collect()
+    assert sorted(map(key, every)) == sorted(map(key, batch))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     runs = sessions.runs(events.withColumn("us", us), ["user_id"], ["us", "event_id"], "us", "event_type", 6 * 3600 * 1000000).collect()
     live = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
