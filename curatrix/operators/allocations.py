@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -172,21 +173,24 @@ class Legal:
 
 
 def _by_build(builds: DataFrame, rules: Rules, how: str) -> DataFrame:
-    """Each build by itself in Python: its next step depends on the one before. The rules of all classes are a small, bounded table."""
+    """Each build by itself in Python, many to an Arrow batch: its next step depends on the one before. The rules of all classes are a small, bounded table."""
     collect = lambda df, *c: [tuple(r) for r in df.select(*c).collect()]
     talents, needs, limits, budgets = collect(rules.talents.orderBy("place"), "cls", "tree", "talent", "page", "row", "max_rank"), collect(rules.needs, "cls", "tree", "talent", "other", "least"), collect(rules.limits, "cls", "per_row", "max_points"), collect(rules.budgets, "cls", "page", "budget")
     legal = {c: Legal([t[1:] for t in talents if t[0] == c], [n[1:] for n in needs if n[0] == c], per, most, {p: b for k, p, b in budgets if k == c}) for c, per, most in limits}
     walks = {c: [t[1:3] for t in talents if t[0] == c] for c in legal}
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        cls = key[1]
-        ranks = {(t, i): int(r) for t, i, r in zip(rows["tree"], rows["talent"], rows["rank"], strict=True)}
-        got = getattr(legal[cls], how)(ranks, walks[cls]) if cls in legal else {}
-        return pd.DataFrame([(key[0], cls, t, i, r) for (t, i), r in got.items()], columns=["build", "cls", "tree", "talent", "rank"])
-
     own = spent(builds)
-    kinds = dict(own.dtypes)
-    return own.groupBy("build", "cls").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("build", "cls", "tree", "talent", "rank")))
+
+    @F.pandas_udf(T.ArrayType(T.StructType([own.schema[c] for c in ("tree", "talent")] + [T.StructField("rank", T.IntegerType())])))
+    def stepped(cls: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for c, ranks in zip(cls, rows, strict=True):
+            got = getattr(legal[c], how)({(r["tree"], r["talent"]): int(r["rank"]) for r in ranks}, walks[c]) if c in legal else {}
+            out.append([{"tree": t, "talent": i, "rank": r} for (t, i), r in got.items()])
+        return pd.Series(out)
+
+    each = own.groupBy("build", "cls").agg(F.array_sort(F.collect_list(F.struct("tree", "talent", "rank"))).alias("rows"))
+    return each.select("build", "cls", F.explode(stepped("cls", "rows")).alias("e")).select("build", "cls", "e.*")
 
 
 def sanitised(builds: DataFrame, rules: Rules) -> DataFrame:

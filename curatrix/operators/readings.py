@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -99,23 +100,28 @@ def aligned(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     depends on those before, so a column is aligned in Python by itself.
     """
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = (sorted(df[["pos", "id", "rank"]].itertuples(index=False, name=None), key=lambda r: r[0]) for df in (left, right))
-        x, y = ([(int(p), i, None if pd.isna(r) else int(r)) for p, i, r in side] for side in (x, y))
-        match, used = {}, set()
-        for same in (lambda u, v: u[1:] == v[1:], lambda u, v: u[1] == v[1]):
-            for i, u in enumerate(x):
-                if i not in match:
-                    free = [j for j in sorted(range(len(y)), key=lambda j: (abs(j - i), j)) if j not in used and same(u, y[j])]
-                    if free:
-                        match[i] = free[0]
-                        used.add(free[0])
-        out = [(key[0], u[0], y[match[i]][0] if i in match else None, u[1], (1.0 if y[match[i]][1:] == u[1:] else 0.7) if i in match else 0.0) for i, u in enumerate(x)]
-        out += [(key[0], None, v[0], v[1], 0.0) for j, v in enumerate(y) if j not in used]
-        return pd.DataFrame(out, columns=[column, "a_pos", "b_pos", "id", "confidence"]).astype({"a_pos": "Int64", "b_pos": "Int64"})
-
-    kinds = dict(a.dtypes)
-    return a.select(column, "pos", "id", "rank").groupBy(column).cogroup(b.select(column, "pos", "id", "rank").groupBy(column)).applyInPandas(run, f"{column} {kinds[column]}, a_pos long, b_pos long, id {kinds['id']}, confidence double")
+    out = T.StructType([T.StructField("a_pos", T.LongType()), T.StructField("b_pos", T.LongType()), a.schema["id"], T.StructField("confidence", T.DoubleType())])
+
+    @F.pandas_udf(T.ArrayType(out))
+    def claimed(left: pd.Series, right: pd.Series) -> pd.Series:
+        got = []
+        for x, y in zip(left, right, strict=True):
+            x, y = ([(r["pos"], (r["id"], r["rank"])) for r in (side if side is not None else [])] for side in (x, y))
+            match, used = {}, set()
+            for same in (lambda u, v: u == v, lambda u, v: u[0] == v[0]):
+                for i, (_, u) in enumerate(x):
+                    if i not in match:
+                        free = [j for j in sorted(range(len(y)), key=lambda j: (abs(j - i), j)) if j not in used and same(u, y[j][1])]
+                        if free:
+                            match[i] = free[0]
+                            used.add(free[0])
+            rows = [{"a_pos": p, "b_pos": y[match[i]][0] if i in match else None, "id": u[0], "confidence": (1.0 if y[match[i]][1] == u else 0.7) if i in match else 0.0} for i, (p, u) in enumerate(x)]
+            got.append(rows + [{"a_pos": None, "b_pos": p, "id": v[0], "confidence": 0.0} for j, (p, v) in enumerate(y) if j not in used])
+        return pd.Series(got)
+
+    one = lambda df, name: df.groupBy(column).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "id", "rank"))).alias(name))
+    both = one(a, "a_rows").join(one(b, "b_rows"), column, "full")
+    return both.select(column, F.explode(claimed("a_rows", "b_rows")).alias("e")).select(column, "e.*")
 
 
 def stitched(sequences: DataFrame, group: str) -> DataFrame:

@@ -215,18 +215,18 @@ _STATE = """WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id, value FROM
 """
 
 
-@query(_STATE + """g AS (SELECT user_id, CAST(state AS BIGINT) AS state, count(*) AS n, avg(value) AS mean FROM s GROUP BY ALL HAVING count(*) >= 2) SELECT user_id, state, n, round(mean, 4) AS mean FROM g""")
+@query(_STATE + """g AS (SELECT user_id, CAST(state AS BIGINT) AS state, count(*) AS n, sum(value) AS total FROM s GROUP BY ALL HAVING count(*) >= 2) SELECT user_id, state, n, round(total, 2) AS total FROM g""")
 def change_states(t):
     """WIN18, WIN19, STM2: states of a user's values, which end where the value jumps."""
     e = t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
-    return views.states(e, ["user_id"], ["us", "event_id"], "value", 40.0, 2).select("user_id", "state", "n", F.round("mean", 4).alias("mean"))
+    return views.states(e, ["user_id"], ["us", "event_id"], "value", 40.0, 2).select("user_id", "state", "n", F.round("total", 2).alias("total"))
 
 
 @query()
 def distinct_states(t):
-    """SRT13, SRT14: a type's events, the greatest values first, without those close to one that stays."""
+    """SRT13, SRT14: a type's events in order, without those whose value is close to one that stays."""
     e = t.events.select("event_type", "event_id", "value")
-    return views.distinct_states(e, ["event_type"], "event_id", "value", 0.5, [-F.col("value"), F.col("event_id")])
+    return views.distinct_states(e, ["event_type"], "event_id", "value", 0.5, [F.col("event_id")])
 
 
 @query("""SELECT n_name, n_nationkey, r_name, CASE r_name WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 99 END AS rank, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 99 END, r_name, lower(n_name)) AS place FROM nation JOIN region ON r_regionkey = n_regionkey""")
