@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,10 +56,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of a few megabytes while a table is written; the session's settings are then as they were.
+
+    Arrow's buffers lie outside the JVM's heap, several to a task, and default batches may have 64 MB each.
+    """
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * BATCH_BYTES)}
+    before = {k: v for k, v in spark.conf.getAll.items() if k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in own:
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it outlives any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
