@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import bpe, contamination, neardup, pii, quality
-from curatrix.llm.common import table, written
+from curatrix.llm.common import release, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, keep=docs)  # what the stage stored is in its result now
     return STAGES[-1][1](spark, docs, sf_dir)

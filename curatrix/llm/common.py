@@ -52,8 +52,12 @@ def scratch_root(spark: SparkSession) -> str:
     return named or "file:///tmp/checkpoints/curatrix"
 
 
+_STORED: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _STORED.append(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    return _STORED[-1]
 
 
 @contextmanager
@@ -90,19 +94,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables that this application wrote to the shared folder, but those that ``keep`` reads.
+def stored() -> int:
+    """How many tables this driver has stored so far: a mark for :func:`release`."""
+    return len(_STORED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables stored after a mark, but those that ``keep`` reads.
 
     Frames that are still to be computed from a deleted table fail, so call it when results are stored.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return
-    used = {part for f in (keep.inputFiles() if keep is not None else []) for part in f.split("/")}
-    for status in fs.listStatus(root):
-        if status.getPath().getName() not in used:
-            fs.delete(status.getPath(), True)
+    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in (keep.inputFiles() if keep is not None else [])}
+    for folder in _STORED[since:]:
+        if folder.rsplit("/", 1)[-1] not in used:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
