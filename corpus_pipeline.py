@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import bpe, contamination, neardup, pii, quality
-from curatrix.llm.common import release, table, written
+from curatrix.llm.common import discard, release, stored, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark, before = stored(), docs
         docs = written(stage(spark, docs, sf_dir), name)
-        release(spark, keep=docs)  # what the stage stored is in its result now
+        release(spark, mark, keep=docs)  # what the stage stored is in its result now
+        if name != STAGES[0][0]:  # the table of documents itself stays
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
