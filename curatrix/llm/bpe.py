@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import append, fresh
 
 #: About how many bytes of pieces a worker remembers; beyond that it starts anew. Freed when a partition ends.
-REMEMBERED = 32 << 20
+REMEMBERED = 96 << 20
 #: Cells that a matrix has at most, unless one row alone is longer.
 CELLS = 1 << 18
 NONE = np.int32((1 << 31) - 1)
