@@ -58,20 +58,38 @@ def violations(builds: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def _classes(rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(numbers of the talents that a class has or wants, with their row and page; a row a class: its limits, pages and talents by tree and row)."""
+    named = rules.talents.select("cls", "tree", "talent").unionAll(rules.needs.select("cls", "tree", F.col("other").alias("talent"))).distinct()
+    named = named.withColumn("no", F.row_number().over(Window.partitionBy("cls").orderBy("tree", "talent")))
+    wants = rules.needs.join(F.broadcast(named.select("cls", "tree", F.col("talent").alias("other"), "no")), ["cls", "tree", "other"], "left").groupBy("cls", "tree", "talent").agg(F.collect_list(F.struct("no", "least")).alias("needs"))
+    every = rules.talents.join(F.broadcast(named), ["cls", "tree", "talent"], "left").join(F.broadcast(wants), ["cls", "tree", "talent"], "left").join(F.broadcast(rules.budgets), ["cls", "page"], "left")
+    rows = every.groupBy("cls", "tree", "row").agg(F.collect_list(F.struct("no", "talent", "page", "max_rank", "budget", "needs")).alias("talents"), F.collect_set("page").alias("own"))
+    classes = rows.groupBy("cls").agg(F.collect_list(F.struct("tree", "row", "talents")).alias("rows"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("pages"))
+    return named.join(F.broadcast(rules.talents.select("cls", "tree", "talent", "row", "page")), ["cls", "tree", "talent"], "left"), classes.join(F.broadcast(rules.limits), "cls")
+
+
 def can_add(builds: DataFrame, rules: Rules) -> DataFrame:
-    """BIZ1: (build, tree, talent, verdict) for every talent of a build's class: ok, or the first reason against one more point."""
-    own = spent(builds)
-    total, page = totals(builds, rules)
-    every = own.select("build", "cls").distinct().join(F.broadcast(rules.talents), "cls").join(F.broadcast(rules.limits), "cls").join(F.broadcast(rules.budgets), ["cls", "page"], "left")
-    every = every.join(own, ["build", "cls", "tree", "talent"], "left").join(total.select("build", "points"), "build").join(page.select("build", "page", F.col("points").alias("on_page")), ["build", "page"], "left")
-    rows = every.groupBy("build", "tree", "row").agg(F.sum("rank").alias("in_row"))
-    above = F.coalesce(F.sum("in_row").over(Window.partitionBy("build", "tree").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = every.join(rows.select("build", "tree", "row", above.alias("above")), ["build", "tree", "row"])
-    have = own.select("build", "tree", F.col("talent").alias("other"), F.col("rank").alias("got"))
-    short = every.select("build", "cls", "tree", "talent").join(F.broadcast(rules.needs), ["cls", "tree", "talent"]).join(have, ["build", "tree", "other"], "left").filter(F.coalesce("got", F.lit(0)) < F.col("least"))
-    every = every.join(short.select("build", "tree", "talent").distinct().withColumn("short", F.lit(True)), ["build", "tree", "talent"], "left")
-    verdict = F.when(F.coalesce("rank", F.lit(0)) >= F.col("max_rank"), "maxed").when(F.col("points") >= F.col("max_points"), "no-points").when(F.coalesce("on_page", F.lit(0)) >= F.col("budget"), "page-full")
-    return every.select("build", "tree", "talent", verdict.when(F.col("above") < F.col("per_row") * F.col("row"), "row-locked").when(F.col("short"), "prereq").otherwise("ok").alias("verdict"))
+    """BIZ1: (build, tree, talent, verdict) for every talent of a build's class: ok, or the first reason against one more point.
+
+    Only the rows of builds are shuffled, once, by build. What a build holds is one row from then on, and each
+    talent of its class is decided from that row; a build without a name counts its points but holds no talent.
+    """
+    named, classes = _classes(rules)
+    own = builds.join(F.broadcast(named), ["cls", "tree", "talent"], "left").select("build", "cls", "no", "tree", F.when(F.col("no").isNull(), F.col("talent")).alias("talent"), "row", "page", "rank")
+    own = own.repartition("build").groupBy("build", "cls", "no", "tree", "talent", "row", "page").agg(F.max("rank").cast("int").alias("rank")).filter("rank > 0")
+    sums = lambda rows, holds: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + F.when(holds(x), x["rank"]).otherwise(0))
+    each = own.groupBy("build", "cls").agg(F.sum("rank").alias("points"), F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "tree", "row", "page", "rank"))).alias("all")).join(F.broadcast(classes), "cls")
+    each = each.withColumn("own", F.filter("all", lambda x: F.col("build").isNotNull())).select(
+        "build", "points", "own", F.map_from_entries(F.transform("own", lambda x: F.struct(x["no"], x["rank"]))).alias("ranks"), "per_row", "max_points",
+        F.map_from_entries(F.transform("pages", lambda p: F.struct(p, sums(F.col("all"), lambda x: x["page"] == p)))).alias("on_pages"), F.explode("rows").alias("r"),
+    )
+    each = each.select("build", "points", "ranks", "per_row", "max_points", "on_pages", "r.tree", "r.row", "r.talents", sums(F.col("own"), lambda x: (x["tree"] == F.col("r.tree")) & (x["row"] < F.col("r.row"))).alias("above"))
+    each = each.select("*", F.explode("talents").alias("t"))
+    rank = lambda no: F.coalesce(F.try_element_at("ranks", no), F.lit(0))
+    verdict = F.when(rank(F.col("t.no")) >= F.col("t.max_rank"), "maxed").when(F.col("points") >= F.col("max_points"), "no-points").when(F.coalesce(F.try_element_at("on_pages", F.col("t.page")), F.lit(0)) >= F.col("t.budget"), "page-full")
+    verdict = verdict.when(F.col("above") < F.col("per_row") * F.col("row"), "row-locked").when(F.exists("t.needs", lambda n: rank(n["no"]) < n["least"]), "prereq").otherwise("ok")
+    return each.select("build", "tree", F.col("t.talent").alias("talent"), verdict.alias("verdict"))
 
 
 def can_remove(builds: DataFrame, rules: Rules) -> DataFrame:

@@ -395,3 +395,21 @@ def test_streams_agree_with_batch(spark, sf_dir):
     q.awaitTermination()
     got = {(r["user_id"], r["event_type"], r["t0"], r["t1"], r["n"]) for r in spark.table("open_runs").collect()}
     assert got and got <= {(r["user_id"], r["event_type"], r["t0"], r["t1"], r["n"]) for r in runs}
+
+
+def against_sql(spark, folder, name, **tables):
+    """A query against its SQL over tables given as DuckDB SELECTs."""
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"COPY ({sql}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got, want = catalog.queries()[name](spark, str(folder)), c.execute(catalog.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
+    return got
+
+
+def test_addable_with_one_shuffle_of_builds(spark, tmp_path):
+    some = "SELECT CASE WHEN i % 11 > 0 THEN i // 9 END AS l_orderkey, CASE WHEN i % 13 > 0 THEN i * 7 % 200 END AS l_partkey, i * 5 % 23 + 0.0 AS l_quantity FROM range(400) r(i)"
+    got = against_sql(spark, tmp_path, "build_can_add", lineitem=some)
+    assert got.filter("build is null").count() == 60
+    assert got.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(build") == 1  # not yet run, so one plan
