@@ -337,16 +337,17 @@ def encodings(docs: DataFrame, registry: DataFrame) -> DataFrame:
 def migrations(registry: DataFrame, steps: DataFrame) -> DataFrame:
     """V11's chain: (class, level, code, path) where a step from one version to the next loses or invents ids.
 
-    registry: (version, class, id); steps: (from, class, old, new), new null where a talent was removed.
+    registry: (version, class, id); steps: (from, class, old, new), new null where a talent was removed. Both grow with
+    the ids, and exploded or filtered rows are estimated far too small, so no side with ids is left to be broadcast.
     """
     r = registry.select("version", "class", "id").distinct()
     nxt = r.select((F.col("version") - 1).alias("version"), "class", F.col("id").alias("target"), F.lit(True).alias("there"))
     step = steps.select(F.col("from").alias("version"), "class", F.col("old").alias("id"), "new", F.lit(True).alias("named"))
     later = r.groupBy("class").agg(F.max("version").alias("latest"))
-    old = r.join(later, "class").filter("version < latest").join(step, ["version", "class", "id"], "left")
-    moved = old.filter("named is null or new is not null").withColumn("target", F.coalesce("new", "id")).join(nxt, ["version", "class", "target"], "left")
+    old = r.join(later, "class").filter("version < latest").join(step.hint("shuffle_merge"), ["version", "class", "id"], "left")
+    moved = old.filter("named is null or new is not null").withColumn("target", F.coalesce("new", "id")).join(nxt.hint("shuffle_merge"), ["version", "class", "target"], "left")
     say = lambda df, code: df.select("class", F.lit("ERROR").alias("level"), F.lit(code).alias("code"), F.concat_ws("/", "class", F.concat(F.lit("v"), F.col("version").cast("string")), "id").alias("path"))
-    ghost = step.join(r.withColumn("known", F.lit(True)), ["version", "class", "id"], "left").filter("known is null")
+    ghost = step.join(r.withColumn("known", F.lit(True)).hint("shuffle_merge"), ["version", "class", "id"], "left").filter("known is null")
     return say(moved.filter("there is null and named is null"), "R11-MIGRATION-NOT-TOTAL").unionAll(say(moved.filter("there is null and named"), "R11-MIGRATION-RENAME")).unionAll(say(ghost, "R11-MIGRATION-RENAME"))
 
 

@@ -433,3 +433,9 @@ def test_distinct_states_one_by_one(spark):
         assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == sorted(want)
     crowd = spark.range(60_000).select(F.lit("k").alias("k"), "id", (F.col("id") * 7919 % 60_000 / 60_000).alias("x"))  # 1.6 billion pairs are close
     assert sorted(r["id"] for r in views.distinct_states(crowd, ["k"], "id", "x", 0.5, [F.col("id")]).collect()) == [0, min(i for i in range(60_000) if i * 7919 % 60_000 > 30_000)]
+
+
+def test_migrations_broadcast_no_ids(spark, tmp_path):
+    against_sql(spark, tmp_path, "migration_rules", part="SELECT i * 3 AS p_partkey FROM range(500) r(i)")
+    plan = catalog.queries()["migration_rules"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastHashJoin") == 2  # broadcast is the latest version of a class, in both branches
