@@ -290,9 +290,10 @@ SELECT p_partkey AS first_id, x AS id FROM b
 def migration_chain(t):
     """BIZ8, J34: ids through two versions of renames and removals."""
     k = F.col("p_partkey")
-    one = t.part.filter((k % 17 == 0) | (k % 5 == 0)).select(k.alias("from_id"), F.when(k % 17 != 0, k + 100000).alias("to_id"))
-    two = one.filter("to_id % 3 = 0").select(F.col("to_id").alias("from_id"), (F.col("to_id") + 100000).alias("to_id"))
-    return builds.migrated(t.part.select(k.alias("first_id"), k.alias("id")), "id", [one, two])
+    one = t.part.filter((k % 17 == 0) | (k % 5 == 0)).select(k.alias("from_id"), F.when(k % 17 != 0, k + 100000).alias("to_id")).distinct()
+    ids = t.part.select(k.alias("from_id")).unionAll(one.select("to_id")).distinct()  # version two renames what it finds, whether or not version one had renamed it
+    two = ids.filter("from_id > 100000 and from_id % 3 = 0").select("from_id", (F.col("from_id") + 100000).alias("to_id"))
+    return builds.migrated(t.part.filter(k.isNotNull()).select(k.alias("first_id"), k.alias("id")), "id", [one, two])
 
 
 @query("""

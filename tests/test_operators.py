@@ -439,3 +439,8 @@ def test_migrations_broadcast_no_ids(spark, tmp_path):
     against_sql(spark, tmp_path, "migration_rules", part="SELECT i * 3 AS p_partkey FROM range(500) r(i)")
     plan = catalog.queries()["migration_rules"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastHashJoin") == 2  # broadcast is the latest version of a class, in both branches
+
+
+def test_migration_chain_beyond_renamed_ids(spark, tmp_path):
+    got = against_sql(spark, tmp_path, "migration_chain", part="SELECT CASE WHEN i <> 7 THEN i * 1001 END AS p_partkey FROM range(400) r(i) UNION ALL SELECT 5 + 100000 * i FROM range(3) r(i) UNION ALL SELECT 100002")
+    assert got.filter("first_id = 100002").first()["id"] == 200002
