@@ -59,12 +59,12 @@ def subtracted(whole: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFram
     """What is left of [t0, t1) outside the blocks of the same key: (keys, t0, t1).
 
     A sweep: the ends of intervals and blocks are sorted, and a stretch counts where an interval is open
-    and no block is.
+    and no block is. Blocks with a null key are blocks of no key.
     """
     def ends(df: DataFrame, a: int, b: int) -> DataFrame:
         return df.select(*keys, F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(a).alias("on"), F.lit(b).alias("off")), F.struct(F.col("t1").alias("t"), F.lit(-a).alias("on"), F.lit(-b).alias("off")))).alias("e")).select(*keys, "e.*")
 
-    moves = ends(whole, 1, 0).unionAll(ends(blocks, 0, 1)).groupBy(*keys, "t").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
+    moves = ends(whole, 1, 0).unionAll(ends(blocks.dropna(subset=keys), 0, 1)).groupBy(*keys, "t").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
     w = Window.partitionBy(*keys).orderBy("t")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     state = moves.select(*keys, F.col("t").alias("t0"), F.lead("t").over(w).alias("t1"), F.sum("on").over(run).alias("on"), F.sum("off").over(run).alias("off"))

@@ -444,3 +444,16 @@ def test_migrations_broadcast_no_ids(spark, tmp_path):
 def test_migration_chain_beyond_renamed_ids(spark, tmp_path):
     got = against_sql(spark, tmp_path, "migration_chain", part="SELECT CASE WHEN i <> 7 THEN i * 1001 END AS p_partkey FROM range(400) r(i) UNION ALL SELECT 5 + 100000 * i FROM range(3) r(i) UNION ALL SELECT 100002")
     assert got.filter("first_id = 100002").first()["id"] == 200002
+
+
+def test_intervals_with_equal_starts_and_without_keys(spark, tmp_path):
+    """Equal orders of a customer, whose place the SQL leaves open, against sets of days; null customers against the SQL."""
+    rng = random.Random(4)
+    dates = [(c, rng.randint(9000, 9600)) for c in range(5) for _ in range(12)]
+    duckdb.execute("CREATE OR REPLACE TEMP TABLE d (c BIGINT, t BIGINT)").executemany("INSERT INTO d VALUES (?, ?)", [x for x in dates for _ in range(rng.randint(1, 6))])
+    duckdb.execute(f"COPY (SELECT c AS o_custkey, TIMESTAMP '1970-01-01' + t * INTERVAL 1 DAY AS o_orderdate FROM d) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    days = lambda name: [(r["o_custkey"], d) for r in catalog.queries()[name](spark, str(tmp_path)).collect() for d in range(r["t0"], r["t1"])]
+    whole = {(c, t + i) for c, t in dates for i in range(30)}
+    assert sorted(days("interval_merge")) == sorted(whole)
+    assert sorted(days("interval_subtract")) == sorted(whole - {(c, t + i) for c, t in dates for i in (10, 11)})
+    against_sql(spark, tmp_path, "interval_subtract", orders="SELECT CASE WHEN i % 3 > 0 THEN i % 3 END AS o_custkey, TIMESTAMP '1995-01-01' + i * 7 * INTERVAL 1 DAY AS o_orderdate FROM range(40) r(i)")
