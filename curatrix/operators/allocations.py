@@ -62,11 +62,12 @@ def _classes(rules: Rules) -> tuple[DataFrame, DataFrame]:
     """(numbers of the talents that a class has or wants, with their row and page; a row a class: its limits, pages and talents by tree and row)."""
     named = rules.talents.select("cls", "tree", "talent").unionAll(rules.needs.select("cls", "tree", F.col("other").alias("talent"))).distinct()
     named = named.withColumn("no", F.row_number().over(Window.partitionBy("cls").orderBy("tree", "talent")))
-    wants = rules.needs.join(F.broadcast(named.select("cls", "tree", F.col("talent").alias("other"), "no")), ["cls", "tree", "other"], "left").groupBy("cls", "tree", "talent").agg(F.collect_list(F.struct("no", "least")).alias("needs"))
-    every = rules.talents.join(F.broadcast(named), ["cls", "tree", "talent"], "left").join(F.broadcast(wants), ["cls", "tree", "talent"], "left").join(F.broadcast(rules.budgets), ["cls", "page"], "left")
-    rows = every.groupBy("cls", "tree", "row").agg(F.collect_list(F.struct("no", "talent", "page", "max_rank", "budget", "needs")).alias("talents"), F.collect_set("page").alias("own"))
+    other = named.select("cls", "tree", F.col("talent").alias("other"), F.col("no").alias("wanted"))
+    wants = rules.needs.join(F.broadcast(named), ["cls", "tree", "talent"]).join(F.broadcast(other), ["cls", "tree", "other"], "left").groupBy("cls").agg(F.collect_list(F.struct("no", "wanted", "least")).alias("wants"))
+    every = rules.talents.join(F.broadcast(named), ["cls", "tree", "talent"], "left").join(F.broadcast(rules.budgets), ["cls", "page"], "left")
+    rows = every.groupBy("cls", "tree", "row").agg(F.collect_list(F.struct("no", "talent", "page", "max_rank", "budget")).alias("talents"), F.collect_set("page").alias("own"))
     classes = rows.groupBy("cls").agg(F.collect_list(F.struct("tree", "row", "talents")).alias("rows"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("pages"))
-    return named.join(F.broadcast(rules.talents.select("cls", "tree", "talent", "row", "page")), ["cls", "tree", "talent"], "left"), classes.join(F.broadcast(rules.limits), "cls")
+    return named.join(F.broadcast(rules.talents.select("cls", "tree", "talent", "row", "page")), ["cls", "tree", "talent"], "left"), classes.join(F.broadcast(rules.limits), "cls").join(F.broadcast(wants), "cls", "left")
 
 
 def can_add(builds: DataFrame, rules: Rules) -> DataFrame:
@@ -80,16 +81,17 @@ def can_add(builds: DataFrame, rules: Rules) -> DataFrame:
     own = own.repartition("build").groupBy("build", "cls", "no", "tree", "talent", "row", "page").agg(F.max("rank").cast("int").alias("rank")).filter("rank > 0")
     sums = lambda rows, holds: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + F.when(holds(x), x["rank"]).otherwise(0))
     each = own.groupBy("build", "cls").agg(F.sum("rank").alias("points"), F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "tree", "row", "page", "rank"))).alias("all")).join(F.broadcast(classes), "cls")
-    each = each.withColumn("own", F.filter("all", lambda x: F.col("build").isNotNull())).select(
-        "build", "points", "own", F.map_from_entries(F.transform("own", lambda x: F.struct(x["no"], x["rank"]))).alias("ranks"), "per_row", "max_points",
-        F.map_from_entries(F.transform("pages", lambda p: F.struct(p, sums(F.col("all"), lambda x: x["page"] == p)))).alias("on_pages"), F.explode("rows").alias("r"),
-    )
-    each = each.select("build", "points", "ranks", "per_row", "max_points", "on_pages", "r.tree", "r.row", "r.talents", sums(F.col("own"), lambda x: (x["tree"] == F.col("r.tree")) & (x["row"] < F.col("r.row"))).alias("above"))
-    each = each.select("*", F.explode("talents").alias("t"))
+    each = each.withColumn("own", F.filter("all", lambda x: F.col("build").isNotNull())).withColumn("ranks", F.map_from_entries(F.transform("own", lambda x: F.struct(x["no"], x["rank"]))))
     rank = lambda no: F.coalesce(F.try_element_at("ranks", no), F.lit(0))
+    locked = lambda r: sums(F.col("own"), lambda x: (x["tree"] == r["tree"]) & (x["row"] < r["row"])) < F.col("per_row") * r["row"]
+    each = each.select(  # what needs a lambda is said once a build; what is said of each talent is compiled
+        "build", "points", "ranks", "max_points", F.transform(F.filter("wants", lambda n: rank(n["wanted"]) < n["least"]), lambda n: n["no"]).alias("short"),
+        F.map_from_entries(F.transform("pages", lambda p: F.struct(p, sums(F.col("all"), lambda x: x["page"] == p)))).alias("on_pages"), F.transform("rows", lambda r: F.struct(r["tree"].alias("tree"), r["talents"].alias("talents"), locked(r).alias("locked"))).alias("rows"),
+    )
+    each = each.select("build", "points", "ranks", "max_points", "short", "on_pages", F.explode("rows").alias("r")).select("*", F.explode("r.talents").alias("t"))
     verdict = F.when(rank(F.col("t.no")) >= F.col("t.max_rank"), "maxed").when(F.col("points") >= F.col("max_points"), "no-points").when(F.coalesce(F.try_element_at("on_pages", F.col("t.page")), F.lit(0)) >= F.col("t.budget"), "page-full")
-    verdict = verdict.when(F.col("above") < F.col("per_row") * F.col("row"), "row-locked").when(F.exists("t.needs", lambda n: rank(n["no"]) < n["least"]), "prereq").otherwise("ok")
-    return each.select("build", "tree", F.col("t.talent").alias("talent"), verdict.alias("verdict"))
+    verdict = verdict.when(F.col("r.locked"), "row-locked").when(F.array_contains("short", F.col("t.no")), "prereq").otherwise("ok")
+    return each.select("build", "r.tree", F.col("t.talent").alias("talent"), verdict.alias("verdict"))
 
 
 def can_remove(builds: DataFrame, rules: Rules) -> DataFrame:
